@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tavla.llm.bpe import encode_column
 from tavla.llm.grouping import connected_groups
 from tavla.llm.setjoin import similar_pairs
+from tavla.llm.splitting import split_oversized
 from tavla.session import table
 
 
@@ -62,5 +64,21 @@ reach(node, other) AS (
 SELECT node AS document_id, least(node, min(other)) AS group_id FROM reach GROUP BY node
 """
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids: every document's ids by byte_bpe_50k; empty and null texts have an empty list."""
+    return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, of at most 1,500 tokens and overlapping by about 100."""
+    return split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id: documents of more than 1,500 tokens, by the second of their pieces."""
+    pieces = split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text", only_oversized=True)
+    return pieces.where("piece_no = 1").select("doc_id")
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_pieces": p9_pieces}
 ORACLES = {"p3_found": P3_SQL, "p4_found": P4_SQL}
