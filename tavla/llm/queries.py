@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tavla.llm.bpe import encode_column
+from tavla.llm.contamination import find_leaks
 from tavla.llm.grouping import connected_groups
 from tavla.llm.setjoin import similar_pairs
 from tavla.llm.splitting import split_oversized
@@ -69,6 +70,17 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id: documents with at least 18 successive words of an evaluation item."""
+    found = find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    return found.select("doc_id", "item_id")
+
+
+def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks with their sizes; documents whose tiles cover half of an item in whatever order are reported as well."""
+    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", min_share=0.5)
+
+
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents, of at most 1,500 tokens and overlapping by about 100."""
     return split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -80,5 +92,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where("piece_no = 1").select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_pieces": p9_pieces}
 ORACLES = {"p3_found": P3_SQL, "p4_found": P4_SQL}
