@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Default folder of the vocabulary files; a parameter of :func:`load_model`.
 TOKENIZERS = "/opt/tokenizers"
@@ -179,7 +180,7 @@ def encode_column(df: DataFrame, key: str, text: str, *, model: bytes | None = N
     are encoded, whatever their length; special tokens' strings are ordinary text; further columns are ignored.
     """
     sent = df.sparkSession.sparkContext.broadcast(model or load_model())  # under 2 MB, fixed by the vocabulary
-    schema = df.select(F.col(key)).schema.add("ids", "array<int>")
+    schema = df.select(F.col(key)).schema.add("ids", T.ArrayType(T.IntegerType()))
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_type = to_arrow_type(schema[0].dataType)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tavla.llm.bpe import CHARS_AT_ONCE, Encoder, load_model, slices, spread
 
@@ -126,7 +127,7 @@ def split_oversized(
     if only_oversized:
         rows = rows.where(F.octet_length(text) > limit)  # a token has at least one byte
     schema = df.select(F.col(key)).schema
-    for name, kind in (("piece_no", "int"), ("start_char", "int"), ("end_char", "int"), ("n_tokens", "int"), ("piece", "string")):
+    for name, kind in (("piece_no", T.IntegerType()), ("start_char", T.IntegerType()), ("end_char", T.IntegerType()), ("n_tokens", T.IntegerType()), ("piece", T.StringType())):
         schema = schema.add(name, kind)
     from pyspark.sql.pandas.types import to_arrow_schema
 
