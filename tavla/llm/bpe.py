@@ -143,7 +143,12 @@ class Encoder:
         return np.concatenate([[0], np.concatenate([[0], ends])[last]]).astype(np.int64), ids
 
     def count(self, text: str) -> int:
-        return int(self.sizes[self.numbers(self.pretokens([text]))].sum())
+        return int(self.token_counts(self.pattern.findall(text)).sum())
+
+    def token_counts(self, words: list[str]) -> np.ndarray:
+        """The number of ids of every pre-token."""
+        k = self.numbers([words])  # may enlarge the tables
+        return self.sizes[k]
 
 
 def decode(tokens: list[bytes], ids: Iterable[int]) -> str:

@@ -63,7 +63,7 @@ def text_units(encoder: Encoder, text: str, limit: int) -> tuple[np.ndarray, np.
     """(char ends, token counts, strengths after) of the units of a text: its pre-tokens, where one that is larger
     than an eighth of the limit is taken character by character, so that a text without blanks can be cut as well."""
     words = encoder.pattern.findall(text)
-    sizes = encoder.sizes[encoder.numbers([words])]
+    sizes = encoder.token_counts(words)
     strengths = [boundary_strength(a, b) for a, b in zip(words, words[1:], strict=False)] + [PARAGRAPH]
     if sizes.max(initial=0) > max(1, limit // 8):
         units, strong = [], []
@@ -71,7 +71,7 @@ def text_units(encoder: Encoder, text: str, limit: int) -> tuple[np.ndarray, np.
             parts = list(w) if n > max(1, limit // 8) else [w]
             units += parts
             strong += [NONE] * (len(parts) - 1) + [s]
-        sizes, words, strengths = encoder.sizes[encoder.numbers([units])], units, strong
+        sizes, words, strengths = encoder.token_counts(units), units, strong
     return np.cumsum([len(w) for w in words]), sizes, np.array(strengths)
 
 
