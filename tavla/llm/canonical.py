@@ -256,24 +256,24 @@ class Matcher:
             changed = False
             for carrier in self.openers:
                 k = carrier.count(" ") + 1
-                for n in {k, max(1, k - 1), k + 1} if k > 1 else {1}:
+                for n in dict.fromkeys((k, max(1, k - 1), k + 1)) if k > 1 else (1,):
                     got, want = "".join(words[:n]), carrier.replace(" ", "")
                     if n >= len(words):
                         continue
-                    if got == want or self._misspelt(got, want):
-                        words, changed = words[n:], True
-                        yield words
-                        break
                     # A one-letter end of the carrier is written together with the next word.
                     if carrier[-2:-1] == " " and n == k and got.startswith(want) and len(got) > len(want) + 1:
                         words, changed = [got[len(want) :], *words[n:]], True
                         yield words
                         break
+                    if got == want or self._misspelt(got, want):
+                        words, changed = words[n:], True
+                        yield words
+                        break
                 if changed:
                     break
             for carrier in self.closers:
                 k = carrier.count(" ") + 1
-                for n in {k, max(1, k - 1), k + 1} if k > 1 else {1}:
+                for n in dict.fromkeys((k, max(1, k - 1), k + 1)) if k > 1 else (1,):
                     got, want = "".join(words[-n:]), carrier.replace(" ", "")
                     if n < len(words) and (got == want or self._misspelt(got, want)):
                         words, changed = words[:-n], True

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tavla.llm.bpe import encode_column
+from tavla.llm.canonical import UNMATCHED, map_to_canonical
 from tavla.llm.contamination import find_leaks
 from tavla.llm.grouping import connected_groups
 from tavla.llm.setjoin import similar_pairs
@@ -13,6 +14,32 @@ from tavla.llm.splitting import split_oversized
 from tavla.session import table
 
 
+def _mapped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every freely typed item of disease_list and exclusions with the code it means; exact names and synonyms are left out."""
+    docs = table(spark, sf_dir, "document_extractions")
+    parts = [
+        docs.select("document_id", F.lit(field).alias("source_field"), F.lit(category).alias("category"), F.posexplode(field).alias("item_pos", "item"))
+        for field, category in (("disease_list", "insured_event"), ("exclusions", "exclusion"))
+    ]
+    items = parts[0].unionByName(parts[1]).where(F.col("document_id").isNotNull() & F.col("item").rlike(r"[^\s\u00a0]"))
+    reference = table(spark, sf_dir, "canonical_codes")
+    listed = reference.select(F.explode(F.concat(F.array("canonical_name_he"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("item"))
+    typed = items.join(listed.where("item is not null").distinct(), "item", "left_anti")
+    return map_to_canonical(
+        typed, "item", "category", reference, code="code", code_category="code_category", name="canonical_name_he", synonyms="synonyms", out="code"
+    )
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_id, source_field, item_pos, code: what each freely typed item means, or UNMATCHED."""
+    return _mapped_items(spark, sf_dir).select("document_id", "source_field", "item_pos", "code").distinct()
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_field, item, n: the items that mean no entry of the list, with the number of rows that hold them."""
+    return _mapped_items(spark, sf_dir).where(F.col("code") == UNMATCHED).groupBy("source_field", "item").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_a < doc_b: documents with at least 10 codes each whose sets have a Jaccard coefficient of 0.75 or more."""
     rows = table(spark, sf_dir, "document_canonical_codes").where(F.col("source_field").isin("disease_list", "exclusions"))
@@ -92,5 +119,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where("piece_no = 1").select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_pieces": p9_pieces}
 ORACLES = {"p3_found": P3_SQL, "p4_found": P4_SQL}
