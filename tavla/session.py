@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table into the shared checkpoint folder and read it back: the lineage is forgotten, the
+    files outlive any executor, and the planner knows the real size, where checkpoint() would keep multiplying the
+    estimates of iterated joins. The files go when the session ends, or earlier by :func:`discard`.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tavla-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tavla_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a :func:`cut` table that no later plan reads."""
+    path = getattr(df, "_tavla_path", None)
+    if path:
+        fs, p = _file_system(df.sparkSession, path)
+        fs.delete(p, True)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
