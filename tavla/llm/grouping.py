@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tavla.session import cut
+from tavla.session import cut, discard
 
 
 def _hook(edges: DataFrame) -> DataFrame:
@@ -20,12 +20,14 @@ def _hook(edges: DataFrame) -> DataFrame:
 
 
 def _jump(parents: DataFrame) -> DataFrame:
-    """Every node's label becomes its root: label := label(label) until none changes, checkpointed each time."""
+    """Every node's label becomes its root: label := label(label) until none changes, written to the checkpoint folder each time."""
+    table = parents
     while True:
         # Only labels that are no roots themselves can move their nodes.
         moves = parents.where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("further"))
         stepped = cut(parents.join(moves, "label", "left").select("node", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved")))
-        parents = stepped.select("node", "label")
+        discard(table)
+        table, parents = stepped, stepped.select("node", "label")
         if stepped.where("moved").isEmpty():
             return parents
 
@@ -48,9 +50,10 @@ def connected_groups(links: DataFrame, a: str, b: str) -> DataFrame:
         rounds.append(parents)
         left = parents.select(F.col("node").alias("u"), F.col("label").alias("lu"))
         right = parents.select(F.col("node").alias("v"), F.col("label").alias("lv"))
-        edges = cut(
+        done, edges = edges, cut(
             edges.join(left, "u").join(right, "v").where("lu <> lv").select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct()
         )
+        discard(done)
     if not rounds:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("group"))
     # Later rounds know fewer nodes; composing from the last keeps every join as small as its round.
