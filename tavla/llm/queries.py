@@ -9,6 +9,7 @@ from tavla.llm.bpe import encode_column
 from tavla.llm.canonical import UNMATCHED, map_to_canonical
 from tavla.llm.contamination import find_leaks
 from tavla.llm.grouping import connected_groups
+from tavla.llm.neighbours import most_similar
 from tavla.llm.setjoin import similar_pairs
 from tavla.llm.splitting import split_oversized
 from tavla.session import table
@@ -92,6 +93,15 @@ reach(node, other) AS (
 SELECT node AS document_id, least(node, min(other)) AS group_id FROM reach GROUP BY node
 """
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_a < doc_b: pairs in which at least one document is among the five most similar to the other."""
+    rows = table(spark, sf_dir, "document_embeddings").where("model_name = 'appendix-mini-64'")
+    # The current row decides, null or not; equal dates: the greatest vector.
+    current = rows.groupBy("document_id").agg(F.max(F.struct("created_date", "embedding")).alias("r")).select("document_id", "r.embedding")
+    near = most_similar(current, "document_id", "embedding", k=5, dim=64)
+    return near.select(F.least("key", "other").alias("doc_a"), F.greatest("key", "other").alias("doc_b")).distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids: every document's ids by byte_bpe_50k; empty and null texts have an empty list."""
     return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -119,5 +129,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where("piece_no = 1").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_pieces": p9_pieces}
 ORACLES = {"p3_found": P3_SQL, "p4_found": P4_SQL}
