@@ -9,10 +9,12 @@ from tavla.llm.bpe import encode_column
 from tavla.llm.canonical import UNMATCHED, map_to_canonical
 from tavla.llm.contamination import find_leaks
 from tavla.llm.grouping import connected_groups
+from tavla.llm.linkage import link_records
+from tavla.llm.listings import PASSES, document_features, listing_comparisons, listing_features, spelt
 from tavla.llm.neighbours import most_similar
 from tavla.llm.setjoin import similar_pairs
 from tavla.llm.splitting import split_oversized
-from tavla.session import table
+from tavla.session import cut, table
 
 
 def _mapped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +95,34 @@ reach(node, other) AS (
 SELECT node AS document_id, least(node, min(other)) AS group_id FROM reach GROUP BY node
 """
 
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """listing_id, document_id, confidence, any_match: each listing's most likely document."""
+    policies = table(spark, sf_dir, "policy_documents").groupBy("id").agg(
+        F.max(F.struct("created_date", "company_id", "appendix_name", F.date_format("marketing_start_date", "yyyy-MM-dd").alias("start"))).alias("r")
+    )
+    extractions = table(spark, sf_dir, "document_extractions").groupBy("document_id").agg(F.max(F.struct("created_date", "coverage_name", "coverage_type")).alias("e"))
+    docs = policies.join(extractions, policies["id"] == extractions["document_id"], "left").select(
+        "id", "r.company_id", "r.appendix_name", "r.start", "e.coverage_name", "e.coverage_type"
+    )
+    docs = cut(docs.where("id is not null"))
+    # Words of a thousandth of the names, eight a name: some thousands at most.
+    least = max(5, docs.count() // 1000)
+    words = F.udf(lambda t: sorted(set(spelt(t))), "array<string>")
+    common = docs.select(F.explode(words("appendix_name")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    common = [r["w"] for r in common.collect()]
+    companies = table(spark, sf_dir, "companies")
+    if companies.count() > 100_000:
+        raise ValueError("the list of companies is too long to be broadcast")
+    named = [(r["id"], r["display_name"]) for r in companies.collect()]
+    links = link_records(listing_features(table(spark, sf_dir, "market_listings"), named, common), document_features(docs, common), PASSES, listing_comparisons())
+    return links.select(F.col("lid").alias("listing_id"), F.col("rid").alias("document_id"), "confidence", "any_match")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """listing_id, document_id: each listing whose product is among the documents, with that document."""
+    return p5_links(spark, sf_dir).select("listing_id", "document_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_a < doc_b: pairs in which at least one document is among the five most similar to the other."""
     rows = table(spark, sf_dir, "document_embeddings").where("model_name = 'appendix-mini-64'")
@@ -129,5 +159,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where("piece_no = 1").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_pieces": p9_pieces}
 ORACLES = {"p3_found": P3_SQL, "p4_found": P4_SQL}
