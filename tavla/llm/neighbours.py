@@ -207,7 +207,7 @@ def _search_distinct(vectors: DataFrame, k: int, dim: int, factor: float, shard_
                 leaf = home(router.value, _matrix(batch.column(1), dim))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf)], names=["key", "v", "leaf"])
 
-    routed_schema = vectors.schema.add("leaf", T.IntegerType())
+    routed_schema = T.StructType([*vectors.schema.fields, T.StructField("leaf", T.IntegerType())])
     routed = cut(spread(vectors).mapInArrow(route, routed_schema))
     # One row a leaf, at most sample_rows / 32 of them.
     sizes = {r["leaf"]: r["n"] for r in routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
