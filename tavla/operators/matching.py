@@ -61,7 +61,7 @@ def _search(df: DataFrame, k: int, least: float | None, gated: bool, block_rows:
     left = rows.select("*", every.alias("other"))
     right = rows.where("active").select("*", every.alias("other"))
     left = left.select(*columns, F.col("block").alias("i"), F.col("other").alias("j"))
-    right = right.select(*columns, F.col("other").alias("i"), F.col("block").alias("j"))
+    right = right.select(*[F.col(c).alias(c) for c in columns], F.col("other").alias("i"), F.col("block").alias("j"))
 
     def bag(x):
         return None if x is None else set(x)
