@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavla.llm.bpe import spread
 from tavla.llm.canonical import BKTree, damerau
 from tavla.llm.linkage import Comparison
 
@@ -84,10 +85,10 @@ class Reader:
                     best[q] = min(best.get(q, (9, "")), (exact, form))
             for q, (_, form) in best.items():
                 self.seen[new[q]] = form
+        out = [self.seen[w] for w in words]
         if len(self.seen) > 300_000:
             self.seen = {}
-            return self.known(words)
-        return [self.seen[w] for w in words]
+        return out
 
     def read(self, text: str | None) -> tuple[list[str], list[str], list[str], list[str]]:
         words = [ALIASES.get(w, w) for w in self.known(spelt(text))]
@@ -105,7 +106,16 @@ def company_reader(companies: list[tuple[str, str]]):
     """label -> company id: the company one of whose names the label has, one letter being wrong at most."""
     names = [(w, cid) for cid, shown in companies for w in {*spelt(cid), *spelt(shown)}]
 
+    seen: dict[str, str | None] = {}
+
     def read(label: str | None) -> str | None:
+        if label not in seen:
+            if len(seen) > 100_000:
+                seen.clear()
+            seen[label] = closest(label)
+        return seen[label]
+
+    def closest(label: str | None) -> str | None:
         words = [w for w in spelt(label) if w not in COMPANY_FILLERS and len(w) > 2]
         best = min(((damerau(w, n), len(w), cid) for w in words for n, cid in names if abs(len(w) - len(n)) < 3), default=(9, 0, None))
         return best[2] if best[0] <= 2 else None
@@ -169,6 +179,7 @@ def listing_features(listings: DataFrame, companies: list[tuple[str, str]], comm
         names, words = sent.value
         company, reader = company_reader(names), Reader(words)
         for pdf in batches:
+            reader.known([w for c in ("listed_title", "cover_title") for t in pdf[c] for w in spelt(t)])
             rows = [
                 (r.listing_id, *_features(company(r.company_label), reader.read(r.listed_title), reader.read(r.cover_title), r.cover_kind, *read_date(r.sold_from)))
                 for r in pdf.itertuples(index=False)
@@ -176,7 +187,7 @@ def listing_features(listings: DataFrame, companies: list[tuple[str, str]], comm
             yield pd.DataFrame(rows, columns=["lid", *(c.split()[0] for c in FEATURES.split(", "))])
 
     columns = ["listing_id", "company_label", "listed_title", "cover_kind", "cover_title", "sold_from"]
-    return listings.where("listing_id is not null").select(columns).dropDuplicates(["listing_id"]).mapInPandas(run, "lid bigint, " + FEATURES)
+    return spread(listings.where("listing_id is not null").select(columns)).mapInPandas(run, "lid bigint, " + FEATURES).dropDuplicates(["lid"])
 
 
 def document_features(docs: DataFrame, common: Sequence[str]) -> DataFrame:
@@ -186,6 +197,7 @@ def document_features(docs: DataFrame, common: Sequence[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(sent.value)
         for pdf in batches:
+            reader.known([w for c in ("appendix_name", "coverage_name") for t in pdf[c] for w in spelt(t)])
             rows = [
                 (r.id, *_features(r.company_id, reader.read(r.appendix_name), reader.read(r.coverage_name), r.coverage_type, r.start, r.start[:7] if r.start else None))
                 for r in pdf.itertuples(index=False)
