@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tavla.functions import measures as M
@@ -83,12 +83,9 @@ def mean_by_status(pairs: DataFrame, status: str, value: str) -> DataFrame:
     return pairs.groupBy(status).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
-def first_of_terms(entries: Column) -> Column:
+def last_of_terms(entries: Column) -> Column:
     """A map of term to definition; of a repeated term the last definition wins."""
     n = F.size(entries)
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, n), lambda later: later["term"] == e["term"]))
     return F.map_from_entries(last)
 
-
-def next_rank(partition: Sequence[str], order: Sequence[Column]) -> Column:
-    return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))

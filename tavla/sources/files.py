@@ -7,7 +7,7 @@ import os
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENVELOPE = "custom_id string, error string, response struct<body: struct<choices: array<struct<message: struct<content: string>>>>>"
@@ -141,6 +141,3 @@ def modelled(df: DataFrame, text: str, out: str, function, *, out_type: str = "s
 
     return df.mapInPandas(run, schema)
 
-
-def nth_in_order(partition: Sequence[str], order: Sequence[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
