@@ -283,7 +283,7 @@ def most_similar(
     *,
     k: int,
     dim: int,
-    factor: float = 0.6,
+    factor: float = 0.25,
     shard_rows: int = SHARD_ROWS,
     sample_rows: int = SAMPLE_ROWS,
     seed: int = 7,
