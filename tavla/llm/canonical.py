@@ -314,7 +314,7 @@ class Matcher:
             far = min(damerau(w, x) if abs(len(w) - len(x)) < 4 else 4 for x in there)
             if far < 2:
                 continue
-            if w in self.own_words or w in self.known or far > max(2, (len(w) + 1) // 2):
+            if w in self.own_words or w in self.known or far > max(2, len(w) // 2):
                 return True
             for n in range(len(w) - 3, len(w) + 4):
                 for x in self.own_by_length.get(n, ()):
@@ -407,7 +407,8 @@ def map_to_canonical(
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             counts = Counter(w for v in pdf["v"] if v for w in plain(bare(v)).split())
-            yield pd.DataFrame({"w": list(counts), "n": list(counts.values())})
+            if counts:  # blank values alone have no words
+                yield pd.DataFrame({"w": list(counts), "n": list(counts.values())})
 
     typed = items.select(F.col(value).alias("v")).mapInPandas(split, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     typed = cut(typed)
@@ -429,6 +430,8 @@ def map_to_canonical(
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             remembered: dict[tuple[str, str], tuple[str | None, int]] = {}
             for pdf in batches:
+                if not len(pdf):
+                    continue
                 keys = list(zip(pdf[category], pdf[value], strict=True))
                 if len(remembered) > REMEMBERED:
                     remembered.clear()

@@ -109,7 +109,8 @@ def link_records(
     """``lid, rid, confidence, any_match``: the best right record of every left one that has more likely than ``least`` a match.
 
     ``left`` has ``lid`` and ``right`` has ``rid``, each unique; the other columns are those that the passes and comparisons
-    name. ``confidence`` is the posterior of the pair, ``any_match`` that of some candidate being a match. Equal posteriors go to
+    name. A pass on one field alone makes that field agree among most other pairs, so it should be rare beside the
+    passes on identifying names. ``confidence`` is the posterior of the pair, ``any_match`` that of some candidate being a match. Equal posteriors go to
     the smaller ``rid``. Left records without candidates and empty tables give no rows; nulls must have a level in the comparisons.
     """
     spark = left.sparkSession

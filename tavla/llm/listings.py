@@ -179,6 +179,8 @@ def listing_features(listings: DataFrame, companies: list[tuple[str, str]], comm
         names, words = sent.value
         company, reader = company_reader(names), Reader(words)
         for pdf in batches:
+            if not len(pdf):
+                continue
             reader.known([w for c in ("listed_title", "cover_title") for t in pdf[c] for w in spelt(t)])
             rows = [
                 (r.listing_id, *_features(company(r.company_label), reader.read(r.listed_title), reader.read(r.cover_title), r.cover_kind, *read_date(r.sold_from)))
@@ -197,6 +199,8 @@ def document_features(docs: DataFrame, common: Sequence[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(sent.value)
         for pdf in batches:
+            if not len(pdf):
+                continue
             reader.known([w for c in ("appendix_name", "coverage_name") for t in pdf[c] for w in spelt(t)])
             rows = [
                 (r.id, *_features(r.company_id, reader.read(r.appendix_name), reader.read(r.coverage_name), r.coverage_type, r.start, r.start[:7] if r.start else None))
