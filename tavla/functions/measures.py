@@ -14,7 +14,8 @@ def dot(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     """The vector at length one; null where its length is zero."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+    # A list of one binds the norm, which would otherwise be computed again for every item.
+    return F.get(F.filter(F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))), lambda u: u.isNotNull()), 0)
 
 
 def jaccard(a: Column, b: Column) -> Column:

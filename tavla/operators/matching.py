@@ -24,24 +24,43 @@ _PAIRS = T.StructType(
 )
 
 
-def _overlap(a: set[str], b: set[str]) -> bool:
-    """The rule of functions.text.lexical_overlap, for two bags in a worker."""
-    if not a.isdisjoint(b):
-        return True
-    return any(
-        len(x) >= 3 and len(y) >= 3 and (x.startswith(y) or x.endswith(y) or y.startswith(x) or y.endswith(x)) for x in a for y in b
-    )
-
+def overlap_matrix(a: Sequence[Sequence[str]], b: Sequence[Sequence[str]]) -> np.ndarray:
+    """The rule of functions.text.lexical_overlap for all pairs of two lists of bags.
 
-def corroborated(words_a, words_b, scope_a, scope_b) -> bool:
-    """Does lexical evidence allow the pair? ``words`` is None for an entity without any name; ``scope`` None for a general product."""
-    if (scope_a is None) != (scope_b is None):
-        return False
-    if scope_a is not None and not _overlap(scope_a, scope_b):
-        return False
-    if words_a is None or words_b is None:
-        return True
-    return _overlap(words_a, words_b)
+    Each word of a bag stands for all words of the other side that it is related to, which are found by its own beginnings
+    and ends and by those of the others; the rest is one product of incidence matrices.
+    """
+    number = {w: n for n, w in enumerate(sorted({w for bag in b for w in bag}))}
+    parts: dict[str, set[int]] = {}
+    for w, n in number.items():
+        for part in {w[:k] for k in range(3, len(w))} | {w[k:] for k in range(1, len(w) - 2)}:
+            parts.setdefault(part, set()).add(n)
+
+    def related(w: str) -> set[int]:
+        found = set(parts.get(w, ())) if len(w) >= 3 else set()
+        for part in {w} | {w[:k] for k in range(3, len(w))} | {w[k:] for k in range(1, len(w) - 2)}:
+            if part in number:
+                found.add(number[part])
+        return found
+
+    known = {w: list(related(w)) for w in {w for bag in a for w in bag}}
+    x, y = np.zeros((len(a), len(number)), np.float32), np.zeros((len(b), len(number)), np.float32)
+    for i, bag in enumerate(a):
+        for w in bag:
+            x[i, known[w]] = 1
+    for i, bag in enumerate(b):
+        y[i, [number[w] for w in bag]] = 1
+    return x @ y.T > 0
+
+
+def gate(words_a: list, words_b: list, scope_a: list, scope_b: list) -> np.ndarray:
+    """Which pairs does lexical evidence allow? ``words`` is None for an entity without any name; ``scope`` None for a general product."""
+    plain = lambda bags: [x or () for x in bags]
+    none = lambda bags: np.array([x is None for x in bags], bool)
+    general_a, general_b = none(scope_a)[:, None], none(scope_b)[None, :]
+    scoped = (general_a == general_b) & (general_a | overlap_matrix(plain(scope_a), plain(scope_b)))
+    unnamed = none(words_a)[:, None] | none(words_b)[None, :]
+    return scoped & (unnamed | overlap_matrix(plain(words_a), plain(words_b)))
 
 
 def _blocks(df: DataFrame, block_rows: int) -> DataFrame:
@@ -63,44 +82,32 @@ def _search(df: DataFrame, k: int, least: float | None, gated: bool, block_rows:
     left = left.select(*columns, F.col("block").alias("i"), F.col("other").alias("j"))
     right = right.select(*[F.col(c).alias(c) for c in columns], F.col("other").alias("i"), F.col("block").alias("j"))
 
-    def bag(x):
-        return None if x is None else set(x)
-
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return _empty()
-        b = b.sort_by("id")
-        ids, others = a["id"].to_pylist(), b["id"].to_pylist()
+        b = b.sort_by("id")  # so that a stable order by score puts the smaller of equal candidates first
+        ids, others = np.array(a["id"].to_pylist(), object), np.array(b["id"].to_pylist(), object)
         dim = len(a["vector"][0])
         x = np.array([v if len(v) == dim else [0.0] * dim for v in a["vector"].to_pylist()], np.float64)
         y = np.array([v if len(v) == dim else [0.0] * dim for v in b["vector"].to_pylist()], np.float64)
         score = x @ y.T
-        names, inverse = np.unique(np.array(b["company"].to_pylist()), return_inverse=True)
-        mine = np.array(a["company"].to_pylist())
-        out: tuple[list, list, list, list] = ([], [], [], [])
+        mine, theirs = np.array(a["company"].to_pylist()), np.array(b["company"].to_pylist())
+        allowed = mine[:, None] != theirs[None, :]
         if gated:
-            wa, wb = [bag(w) for w in a["words"].to_pylist()], [bag(w) for w in b["words"].to_pylist()]
-            sa, sb = [bag(w) for w in a["scope"].to_pylist()], [bag(w) for w in b["scope"].to_pylist()]
-        for c, name in enumerate(names):
-            at = np.flatnonzero(inverse == c)
-            rows = np.flatnonzero(mine != name)
-            if not len(rows):
-                continue
-            part = score[np.ix_(rows, at)]
-            order = np.argsort(-part, axis=1, kind="stable")
-            for r, ranked, s in zip(rows, order, part, strict=True):
-                kept = 0
-                for n in ranked:
-                    if least is not None and s[n] < least:
-                        break
-                    if gated and not corroborated(wa[r], wb[at[n]], sa[r], sb[at[n]]):
-                        continue
-                    for column, value in zip(out, (ids[r], name, others[at[n]], float(s[n])), strict=True):
-                        column.append(value)
-                    kept += 1
-                    if kept == k:
-                        break
-        return pa.table([pa.array(out[0], pa.string()), pa.array([str(x) for x in out[1]], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64())], names=_PAIRS.names)
+            allowed &= gate(*(t[c].to_pylist() for c in ("words", "scope") for t in (a, b)))
+        if least is not None:
+            allowed &= score >= least
+        score[~allowed] = -np.inf
+        out = []
+        for name in np.unique(theirs):
+            at = np.flatnonzero(theirs == name)
+            part = score[:, at]
+            order = np.argsort(-part, axis=1, kind="stable")[:, :k]
+            top = np.take_along_axis(part, order, 1)
+            rows, place = np.nonzero(top > -np.inf)
+            out.append((ids[rows], np.full(len(rows), name, object), others[at[order[rows, place]]], top[rows, place]))
+        source, company, candidate, value = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table([pa.array(source, pa.string()), pa.array(company, pa.string()), pa.array(candidate, pa.string()), pa.array(value, pa.float64())], names=_PAIRS.names)
 
     def _empty() -> pa.Table:
         return pa.table([pa.array([], pa.string())] * 3 + [pa.array([], pa.float64())], names=_PAIRS.names)
