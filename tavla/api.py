@@ -76,7 +76,8 @@ def by_number(docs: DataFrame, company_id: str, number: str) -> DataFrame:
 def appendix(docs: DataFrame, extractions: DataFrame, company_id: str, number: str) -> DataFrame:
     """A numbered appendix with its extraction, if there is one."""
     found = by_number(docs, company_id, number)
-    return found.join(extractions.withColumnRenamed("document_id", "id").drop("created_date"), "id", "left")
+    own = extractions.select(F.col("document_id").alias("id"), *[c for c in extractions.columns if c not in found.columns and c != "document_id"])
+    return found.join(own, "id", "left")
 
 
 def appendix_matches(docs: DataFrame, matches: DataFrame, company_id: str, number: str, *, status: str | None = None) -> DataFrame:
