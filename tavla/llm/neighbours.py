@@ -22,15 +22,16 @@ from tavla.session import cut
 
 #: Vectors on which the router is fitted, those with the smallest hashes of their keys.
 SAMPLE_ROWS = 16_384
-#: Vectors a shard holds on average.
-SHARD_ROWS = 4_000
+#: Vectors a shard holds on average (at 64 dimensions 16 MB in a worker). Few large shards mean few visits to others, and
+#: inside a shard pruning costs no shuffle.
+SHARD_ROWS = 32_000
 #: A shard of more than this many times the average is cut in blocks of SHARD_ROWS, each with a tree of its own.
 HEAVY_SHARD = 2
 #: Visits that one task answers at a time.
-VISITS_PER_TASK = 20_000
+VISITS_PER_TASK = 50_000
 #: Classes of exact copies whose hashes (8 bytes each) may be broadcast.
 BROADCAST_COPIES = 200_000
-LEAF_ROWS = 96
+LEAF_ROWS = 256
 #: Below this distance two vectors count as equal; no further shard is searched.
 SAME = 1e-6
 
@@ -152,6 +153,10 @@ class Search:
         for lo in range(0, len(at), 4096):
             part = at[lo : lo + 4096]
             cos = self.q[part] @ self.x[rows].T
+            better = np.flatnonzero(cos.max(axis=1) > np.maximum(self.score[part, -1], self.floor[part]))
+            if not len(better):
+                continue
+            part, cos = part[better], cos[better]
             if self.own is not None:
                 cos[rows[None, :] == self.own[part][:, None]] = -2.0
             cos[cos <= self.floor[part][:, None]] = -2.0
