@@ -400,18 +400,14 @@ def map_to_canonical(
         F.col(code_category).alias("c"), F.col(code).alias("k"), F.concat(F.array(F.col(name)), F.coalesce(F.col(synonyms), F.array().cast("array<string>"))).alias("t")
     )
     shards = int(rows.count() * 4 // shard_forms) + 1
-    vocabulary = rows.select(F.explode("t").alias("t")).where("t is not null")
-    normal = F.udf(lambda t: sorted(set(plain(bare(t)).split())), "array<string>")
-    known = vocabulary.select(F.explode(normal("t")).alias("w")).distinct()
-
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             counts = Counter(w for v in pdf["v"] if v for w in plain(bare(v)).split())
             if counts:  # blank values alone have no words
                 yield pd.DataFrame({"w": list(counts), "n": list(counts.values())})
 
-    typed = items.select(F.col(value).alias("v")).mapInPandas(split, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    typed = cut(typed)
+    typed = cut(items.select(F.col(value).alias("v")).mapInPandas(split, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
+    known = rows.select(F.explode("t").alias("v")).mapInPandas(split, "w string, n bigint").select("w").distinct()
     total = typed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     # At most 1 / share words; each is one in its own right.
     own = {r["w"] for r in typed.where(F.col("n") >= F.greatest(F.lit(3), F.lit(total * own_word_share))).join(known, "w", "left_anti").collect()}

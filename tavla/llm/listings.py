@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -61,6 +62,19 @@ def spelt(text: str | None) -> list[str]:
     return ["".join(LETTERS.get(c, c) for c in w) for w in _WORD.findall(_QUOTES.sub("", text.lower()))]
 
 
+def common_words(docs: DataFrame, column: str, least: int) -> list[str]:
+    """Words of at least ``least`` texts. With ``least`` a share of the texts their number is bounded by words a text / share."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            counts = Counter(w for t in pdf[column] for w in set(spelt(t)))
+            if counts:
+                yield pd.DataFrame({"w": list(counts), "n": list(counts.values())})
+
+    counted = docs.select(column).mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    return [r["w"] for r in counted.where(F.col("n") >= least).collect()]
+
+
 class Reader:
     """Sorts the words of a name into its own name, tier, audience and product words."""
 

@@ -10,7 +10,7 @@ from tavla.llm.canonical import UNMATCHED, map_to_canonical
 from tavla.llm.contamination import find_leaks
 from tavla.llm.grouping import connected_groups
 from tavla.llm.linkage import link_records
-from tavla.llm.listings import PASSES, document_features, listing_comparisons, listing_features, spelt
+from tavla.llm.listings import PASSES, common_words, document_features, listing_comparisons, listing_features
 from tavla.llm.neighbours import most_similar
 from tavla.llm.setjoin import similar_pairs
 from tavla.llm.splitting import split_oversized
@@ -107,9 +107,7 @@ def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = cut(docs.where("id is not null"))
     # Words of a thousandth of the names, eight a name: some thousands at most.
     least = max(5, docs.count() // 1000)
-    words = F.udf(lambda t: sorted(set(spelt(t))), "array<string>")
-    common = docs.select(F.explode(words("appendix_name")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    common = [r["w"] for r in common.collect()]
+    common = common_words(docs, "appendix_name", least)
     companies = table(spark, sf_dir, "companies")
     if companies.count() > 100_000:
         raise ValueError("the list of companies is too long to be broadcast")
