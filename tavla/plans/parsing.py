@@ -340,7 +340,7 @@ def nearest_numbers(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def rtl_pages(spark: SparkSession, d: str) -> DataFrame:
     """Words of a page in reading order; the boxes are made from the texts' words."""
-    texts = table(spark, d, "documents").where("n_chars between 1 and 300")
+    texts = table(spark, d, "documents").where("text is not null")
     words = texts.select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("i", "word")).where("word <> ''")
     boxes = words.select("doc_id", (500 - (F.col("i") % 7) * 60).cast("double").alias("x"), (F.floor(F.col("i") / 7) * 20 + (F.col("i") % 3)).cast("double").alias("y"), "word")
     return L.rtl_lines(boxes, "doc_id", "x", "y", "word", 10.0)
