@@ -15,7 +15,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -85,6 +86,12 @@ def damerau(a: Sequence, b: Sequence) -> int:
     return d[len(a) + 1][len(b) + 1]
 
 
+@lru_cache(REMEMBERED)
+def near_carrier(got: str, carrier: str) -> bool:
+    """One letter apart, two from a long carrier. The same few beginnings and ends come again and again."""
+    return damerau(got, carrier) <= 1 + (len(carrier) > 7)
+
+
 def levenshtein(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -246,7 +253,7 @@ class Matcher:
 
     def _misspelt(self, got: str, carrier: str) -> bool:
         """Is this the carrier with one letter wrong (two in a long one), and no word of the list?"""
-        return len(carrier) > 3 and got not in self.known and abs(len(got) - len(carrier)) <= 2 and damerau(got, carrier) <= 1 + (len(carrier) > 7)
+        return len(carrier) > 3 and abs(len(got) - len(carrier)) <= 1 + (len(carrier) > 7) and got not in self.known and near_carrier(got, carrier)
 
     def _strip(self, words: list[str]) -> Iterator[list[str]]:
         """The words, and the words without each carrier that stands, perhaps misspelt, at either end."""
