@@ -118,3 +118,23 @@ def known_only(items: Column, allowed: Sequence[str]) -> Column:
 def with_columns_of(df: DataFrame, target: Sequence[tuple[str, str]]) -> DataFrame:
     """``df`` with every target column: missing ones are added as null, none is dropped or retyped."""
     return df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in target if c not in df.columns])
+
+
+def ingested(files: DataFrame, listing: DataFrame, name: str, order: str) -> DataFrame:
+    """Files with the listing's entry of their name, of several entries the last; ``listed`` tells whether there is one."""
+    from tavla.operators.ranking import latest
+
+    return files.join(latest(listing, [name], [order]).withColumn("listed", F.lit(True)), name, "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
+def labelled_by(df: DataFrame, labels: DataFrame, code: str, label: str) -> DataFrame:
+    """``df`` with the label of its code, or the code itself where it has none."""
+    return df.join(labels.select(F.col("code").alias(code), F.col("label").alias(label)), code, "left").withColumn(label, F.coalesce(label, code))
+
+
+def required(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+    """``df`` joined with a dimension that must know every key; an unknown key is an error."""
+    unknown = df.select(key).where(F.col(key).isNotNull()).join(dimension.select(key), key, "left_anti").first()
+    if unknown is not None:
+        raise ValueError(f"unknown {key}: {unknown[0]}")
+    return df.join(dimension, key)

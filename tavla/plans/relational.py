@@ -366,3 +366,19 @@ def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
     price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(price), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
 
+
+
+@query(f"""WITH last AS (SELECT original_file_name AS name, arg_max(appendix_name, struct_pack(c := created_date, i := id)) AS title FROM policy_documents WHERE company_id <> 'keshtov' GROUP BY 1)
+SELECT p.name, l.title, l.name IS NOT NULL AS listed FROM (SELECT DISTINCT original_file_name AS name FROM policy_documents) p LEFT JOIN last l ON l.name = p.name""")
+def ingest_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files with the last listing entry of their name; unmatched ones are marked."""
+    p = table(spark, d, "policy_documents").withColumnRenamed("original_file_name", "name")
+    listing = p.where("company_id <> 'keshtov'").select("name", F.struct(F.col("appendix_name").alias("title")).alias("entry"), F.struct("created_date", "id").alias("at"))
+    return R.ingested(p.select("name").distinct(), listing, "name", "at").select("name", F.col("entry.title").alias("title"), "listed")
+
+
+@query(f"WITH {CODES}, n AS (SELECT code, count(*) AS n FROM codes GROUP BY 1) SELECT n.code, coalesce(c.canonical_name_he, n.code) AS label, n.n FROM n LEFT JOIN canonical_codes c ON c.code = n.code")
+def code_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Codes in use with their label, or the code itself where the dictionary has none."""
+    n = codes(spark, d).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return R.labelled_by(n, table(spark, d, "canonical_codes").select("code", F.col("canonical_name_he").alias("label")), "code", "label").select("code", "label", "n")

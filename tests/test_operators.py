@@ -131,6 +131,19 @@ def test_stages(spark, rows):
     assert rows(R.settled(spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([], "id string"), docs, "id")) == [("b",), ("c",), ("d",)]
 
 
+def test_lookups(spark, rows):
+    files = spark.createDataFrame([("a.pdf",), ("b.pdf",)], "name string")
+    listing = spark.createDataFrame([("a.pdf", "old", 1), ("a.pdf", "new", 2)], "name string, title string, at int")
+    assert rows(R.ingested(files, listing, "name", "at"), "name", "title", "listed") == [("a.pdf", "new", True), ("b.pdf", None, False)]
+    dim = spark.createDataFrame([("x", "X")], "code string, label string")
+    assert rows(R.labelled_by(spark.createDataFrame([("x",), ("y",)], "code string"), dim, "code", "label")) == [("x", "X"), ("y", "y")]
+    assert R.required(spark.createDataFrame([("x",), (None,)], "code string"), dim, "code").count() == 1
+    with pytest.raises(ValueError, match="unknown code: y"):
+        R.required(spark.createDataFrame([("y",)], "code string"), dim, "code")
+    wide = R.with_columns_of(files, [("name", "string"), ("added", "int")])
+    assert wide.columns == ["name", "added"]
+
+
 def test_codes(spark, rows):
     phrases = spark.createDataFrame([("c", " שבץ מוחי "), ("c", "סרטן השד"), ("c", "אחר"), ("e", "שבץ")], "category string, phrase string")
     codes = spark.createDataFrame([("STROKE", "c", "שבץ מוחי", ["שבץ"]), ("CANCER", "c", "סרטן", None)], "code string, category string, name string, syn array<string>")
