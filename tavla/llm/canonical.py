@@ -420,13 +420,11 @@ def map_to_canonical(
     own = {r["w"] for r in typed.where(F.col("n") >= F.greatest(F.lit(3), F.lit(total * own_word_share))).join(known, "w", "left_anti").collect()}
     own = own_words(own, {r["w"] for r in known.collect()} if own else set(), openers, closers)
 
-    def answers(df: DataFrame, shard: DataFrame, last: bool) -> DataFrame:
+    def answers(df: DataFrame, shard: DataFrame) -> DataFrame:
         entries: dict[str, list[tuple[str, list[str]]]] = defaultdict(list)
         for r in shard.toLocalIterator():
             entries[r["c"]].append((r["k"], r["t"]))
-        parts: dict[str, Matcher] = {}
-        for cat, x in entries.items():
-            parts[cat] = Matcher(implied_forms(x), own, rewrites, openers, closers)
+        parts = {cat: Matcher(implied_forms(x), own, rewrites, openers, closers) for cat, x in entries.items()}
         sent = spark.sparkContext.broadcast(parts)
         schema = T.StructType([*df.schema.fields, *([] if "__best" in df.columns else [T.StructField("__best", T.StringType()), T.StructField("__far", T.IntegerType())])])
 
@@ -454,5 +452,5 @@ def map_to_canonical(
 
     found = items
     for s in range(shards):
-        found = answers(found, rows if shards == 1 else rows.where(F.pmod(F.xxhash64("k"), F.lit(shards)) == s), s == shards - 1)
+        found = answers(found, rows if shards == 1 else rows.where(F.pmod(F.xxhash64("k"), F.lit(shards)) == s))
     return found.withColumn(out, F.coalesce("__best", F.lit(UNMATCHED))).drop("__best", "__far")

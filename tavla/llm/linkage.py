@@ -153,7 +153,6 @@ def link_records(
         matched[np.searchsorted(patterns, got["pattern"].to_numpy(np.int64))] = got["matched"].to_numpy()
         if model.update(patterns, matched, counts, records) < tolerance:
             break
-    link_records.last_model = model
     weights = spark.createDataFrame(pd.DataFrame({"pattern": patterns, "ratio": model.ratios(patterns)}), "pattern bigint, ratio double")
     weighed = scored.join(F.broadcast(weights), "pattern")
     best = weighed.groupBy("lid").agg(
