@@ -45,8 +45,11 @@ def candidate_pairs(left: DataFrame, right: DataFrame, passes: Sequence[str], *,
     no task has more than about ``pairs_per_part`` pairs of one key; none is left out.
     """
 
+    def hashed(n: int, p: str) -> Column:
+        return F.transform(p, lambda x: F.xxhash64(F.lit(n), x))  # a second parameter would be the place in the array
+
     def keys(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, F.explode(F.concat(*[F.transform(p, lambda x, n=n: F.xxhash64(F.lit(n), x)) for n, p in enumerate(passes)])).alias("k")).distinct()
+        return df.select(key, F.explode(F.concat(*[hashed(n, p) for n, p in enumerate(passes)])).alias("k")).distinct()
 
     lk, rk = cut(keys(left, "lid")), cut(keys(right, "rid"))
     busy = lk.groupBy("k").agg(F.count(F.lit(1)).alias("nl")).join(rk.groupBy("k").agg(F.count(F.lit(1)).alias("nr")), "k")

@@ -137,10 +137,19 @@ def company_reader(companies: list[tuple[str, str]]):
     return read
 
 
+def signs(name: str) -> str:
+    """A name with one sign for each of the Hebrew letters that are spelt by two."""
+    return name.replace("tz", "Z").replace("sh", "S").replace("ch", "C")
+
+
 def shortened(name: str) -> list[str]:
-    """The beginning of a name, and what one letter left out makes of it: names with one letter wrong share one."""
-    head = name[:8]
-    return sorted({head[:7], *(head[:k] + head[k + 1 :] for k in range(len(head)))})
+    """The beginning of a name, and what one letter left out makes of it: names with one letter wrong share one.
+
+    A letter is a Latin one or a sign, so that a Hebrew letter spelt by two counts as one. Both ways of reading a name
+    give keys, for s and h, or t and z, may also be two letters.
+    """
+    heads = {name[:8], signs(name)[:8]}
+    return sorted({key for h in heads for key in (h[:7], *(h[:k] + h[k + 1 :] for k in range(len(h))))})
 
 
 DATE_FORMATS = ("%Y-%m-%d", "%Y%m%d", "%d/%m/%Y", "%d.%m.%Y", "%d.%m.%y", "%d/%m/%y")
@@ -167,11 +176,12 @@ def read_date(text: str | None) -> tuple[str | None, str | None]:
 FEATURES = (
     "company string, own array<string>, tier array<string>, audience array<string>, product array<string>, "
     "cover_own array<string>, cover_tier array<string>, cover_audience array<string>, kind string, day string, month string, "
-    "by_company array<string>, by_name array<string>, by_day array<string>, by_month array<string>"
+    "by_company array<string>, by_name array<string>, by_part array<string>, by_day array<string>, by_month array<string>"
 )
 
 
-def _features(company: str | None, title: tuple, cover: tuple, kind: str | None, day: str | None, month: str | None) -> tuple:
+def _features(company: str | None, title: tuple, cover: tuple, kind: str | None, day: str | None, month: str | None, loose: bool) -> tuple:
+    """The features of a row; ``loose`` gives it keys of misspelt names without the company as well."""
     own, tier, audience, product = title
     c_own, c_tier, c_audience, c_product = cover
     names = list(dict.fromkeys([*own, *c_own]))
@@ -180,6 +190,7 @@ def _features(company: str | None, title: tuple, cover: tuple, kind: str | None,
         company, own, tier, audience, words, c_own, c_tier, c_audience, " ".join(spelt(kind)) or None, day, month,
         [f"{company}|{s}" for n in names for s in shortened(n)] if company else [],
         sorted({n[:7] for n in names}),
+        sorted({s for n in names for s in shortened(n)}) if loose else [],
         [f"{company}|{day}"] if company and day else [],
         [f"{company}|{month}|{w}" for w in words] if company and month else [],
     )
@@ -196,8 +207,10 @@ def listing_features(listings: DataFrame, companies: list[tuple[str, str]], comm
             if not len(pdf):
                 continue
             reader.known([w for c in ("listed_title", "cover_title") for t in pdf[c] for w in spelt(t)])
+            # Misspelt names are sought among all companies only where the company isn't known: the pass agrees on names
+            # alone, and over all listings it would make names agree among other pairs and so count for less.
             rows = [
-                (r.listing_id, *_features(company(r.company_label), reader.read(r.listed_title), reader.read(r.cover_title), r.cover_kind, *read_date(r.sold_from)))
+                (r.listing_id, *_features(c := company(r.company_label), reader.read(r.listed_title), reader.read(r.cover_title), r.cover_kind, *read_date(r.sold_from), loose=c is None))
                 for r in pdf.itertuples(index=False)
             ]
             yield pd.DataFrame(rows, columns=["lid", *(c.split()[0] for c in FEATURES.split(", "))])
@@ -217,7 +230,7 @@ def document_features(docs: DataFrame, common: Sequence[str]) -> DataFrame:
                 continue
             reader.known([w for c in ("appendix_name", "coverage_name") for t in pdf[c] for w in spelt(t)])
             rows = [
-                (r.id, *_features(r.company_id, reader.read(r.appendix_name), reader.read(r.coverage_name), r.coverage_type, r.start, r.start[:7] if r.start else None))
+                (r.id, *_features(r.company_id, reader.read(r.appendix_name), reader.read(r.coverage_name), r.coverage_type, r.start, r.start[:7] if r.start else None, loose=True))
                 for r in pdf.itertuples(index=False)
             ]
             yield pd.DataFrame(rows, columns=["rid", *(c.split()[0] for c in FEATURES.split(", "))])
@@ -228,7 +241,7 @@ def document_features(docs: DataFrame, common: Sequence[str]) -> DataFrame:
 #: Days by which two dates of one product may differ.
 NEAR_DAYS = 5
 
-PASSES = ["by_company", "by_name", "by_day", "by_month"]
+PASSES = ["by_company", "by_name", "by_part", "by_day", "by_month"]
 
 
 def _closest(a: str, b: str) -> Column:

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tavla.llm.linkage import Comparison, Model, candidate_pairs, link_records
-from tavla.llm.listings import Reader, company_reader, read_date, shortened, spelt
+from tavla.llm.listings import PASSES, Reader, company_reader, document_features, listing_features, read_date, shortened, spelt
 
 
 def make(spark, rows, key):
@@ -83,3 +83,29 @@ def test_reading():
     assert read_date("29.01.08") == ("2008-01-29", "2008-01")
     assert read_date("שנה שעברה") == read_date(None) == (None, None)
     assert set(shortened("abcdefgh")) & set(shortened("abxdefgh"))
+
+
+def test_one_wrong_hebrew_letter_keeps_a_key():
+    rng = random.Random(3)
+    letters = "אבגדחיכלמנספצקרשת"
+    for _ in range(300):
+        name = "".join(rng.choice(letters) for _ in range(rng.randint(5, 12)))
+        k, new = rng.randrange(4), rng.choice("חצש" + letters)
+        for wrong in (name[:k] + new + name[k + 1 :], name[:k] + new + name[k:], name[:k] + name[k + 1 :], name[:k] + name[k + 1] + name[k] + name[k + 2 :]):
+            assert set(shortened(*spelt(name))) & set(shortened(*spelt(wrong))), (name, wrong)
+
+
+def test_misspelt_listings_are_candidates(spark):
+    listings = [(1, None, "זובדפונים"), (2, "נירווד", "קשתרונים"), (3, "נירווד", "זואדפונים"), (4, None, "גלמידרון"), (5, None, None)]
+    ls = spark.createDataFrame([(i, c, t, None, None, None) for i, c, t in listings], "listing_id long, company_label string, listed_title string, cover_kind string, cover_title string, sold_from string")
+    docs = [("a", "nirvad", "זואדפונים"), ("b", "nirvad", "קבתרונים")]
+    ds = spark.createDataFrame([(i, c, t, None, None, None) for i, c, t in docs], "id string, company_id string, appendix_name string, start date, coverage_name string, coverage_type string")
+    left, right = listing_features(ls, [("nirvad", "נירווד"), ("keshtov", "קשתוב")], []), document_features(ds, [])
+    got = {(r["lid"], r["rid"]) for r in candidate_pairs(left, right, PASSES).collect()}
+    assert got == {(1, "a"), (2, "b"), (3, "a")}
+
+
+def test_keys_meet_at_any_place_of_their_pass_only(spark):
+    left = make(spark, [("l", "n", 1, "k", ["a", "b"], ["c"])], "lid")
+    right = make(spark, [("r", "n", 1, "k", ["x", "y", "a"], []), ("s", "n", 1, "k", ["c"], [])], "rid")
+    assert [(r["lid"], r["rid"]) for r in candidate_pairs(left, right, ["by_name", "by_year"]).collect()] == [("l", "r")]
