@@ -119,7 +119,7 @@ w AS (SELECT m.id, [CASE WHEN a.wait = b.wait THEN 'tie' WHEN a.wait < b.wait TH
   CASE WHEN a.dis = b.dis THEN 'tie' WHEN a.dis > b.dis THEN 'A' WHEN a.dis < b.dis THEN 'B' END] AS ws FROM mat m JOIN f a ON a.document_id = m.document_id JOIN f b ON b.document_id = m.matched_document_id)
 SELECT id, round((len(list_filter(ws, lambda x: x = 'A')) + len(list_filter(ws, lambda x: x = 'tie')) / 2) * 100.0 / nullif(len(list_filter(ws, lambda x: x IS NOT NULL)), 0), 6) AS percent_a, len(list_filter(ws, lambda x: x IS NOT NULL)) AS criteria FROM w""")
 def score_compare(spark: SparkSession, d: str) -> DataFrame:
-    """The share of criteria that the first of two matched documents wins."""
+    """The share of three criteria (waiting period, exclusions, diseases) that the first of two matched documents wins; score_compare_all has the reference's seven."""
     from tavla.operators.matching import with_both_sides
 
     f = extractions(spark, d).select(F.col("document_id").alias("id"), X.short_duration_days(F.col("waiting_period")).alias("wait"), M.size_of(F.col("exclusions")).alias("ex"), F.col("disease_count").alias("dis"))
@@ -128,6 +128,27 @@ def score_compare(spark: SparkSession, d: str) -> DataFrame:
     return both.select("id", F.round(M.share_of(winners), 6).alias("percent_a"), F.size(F.filter(winners, lambda x: x.isNotNull())).cast("bigint").alias("criteria"))
 
 
+#: The reference's criteria: what is compared, and whether more is better.
+CRITERIA = {"amount": True, "wait": False, "qualify": False, "survive": False, "ex": False, "restrict": False, "dis": True}
+WINNERS_SQL = "[" + ", ".join(f"CASE WHEN a.{c} = b.{c} THEN 'tie' WHEN a.{c} {'>' if more else '<'} b.{c} THEN 'A' WHEN a.{c} {'<' if more else '>'} b.{c} THEN 'B' END" for c, more in CRITERIA.items()) + "]"
+
+
+@query(f"""WITH {MATCHES}, {EXTR}, f AS (SELECT document_id, list_max(list_transform(insurance_amounts, lambda a: list_max(list_transform(regexp_extract_all(coalesce(a, ''), '[\\d,]{{3,}}'), lambda t: try_cast(replace(t, ',', '') AS BIGINT))))) AS amount,
+  {DAYS_SQL.format(c="waiting_period")} AS wait, {DAYS_SQL.format(c="qualifying_period")} AS qualify, {DAYS_SQL.format(c="survival_period")} AS survive, coalesce(len(exclusions), 0) AS ex, coalesce(len(restrictions), 0) AS restrict, disease_count AS dis FROM extr),
+w AS (SELECT m.id, {WINNERS_SQL} AS ws FROM mat m JOIN f a ON a.document_id = m.document_id JOIN f b ON b.document_id = m.matched_document_id)
+SELECT id, round((len(list_filter(ws, lambda x: x = 'A')) + len(list_filter(ws, lambda x: x = 'tie')) / 2) * 100.0 / nullif(len(list_filter(ws, lambda x: x IS NOT NULL)), 0), 6) AS percent_a, len(list_filter(ws, lambda x: x IS NOT NULL)) AS criteria FROM w""")
+def score_compare_all(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the seven criteria that the first of two matched documents wins; those without a value on either side don't count."""
+    from tavla.operators.matching import with_both_sides
+
+    days = [X.short_duration_days(F.col(f"{c}_period")).alias(n) for c, n in (("waiting", "wait"), ("qualifying", "qualify"), ("survival", "survive"))]
+    sizes = [M.size_of(F.col("exclusions")).alias("ex"), M.size_of(F.col("restrictions")).alias("restrict"), F.col("disease_count").alias("dis")]
+    f = extractions(spark, d).select(F.col("document_id").alias("id"), X.largest_number(F.col("insurance_amounts")).alias("amount"), *days, *sizes)
+    both = with_both_sides(matches(spark, d), f, list(CRITERIA))
+    winners = F.array(*[M.winner(F.col(f"a_{c}"), F.col(f"b_{c}"), more) for c, more in CRITERIA.items()])
+    return both.select("id", F.round(M.share_of(winners), 6).alias("percent_a"), F.size(F.filter(winners, lambda x: x.isNotNull())).cast("bigint").alias("criteria"))
+
+
 @query(f"""WITH {EXTR} SELECT document_id, array_to_string(list_filter([coverage_type, coverage_name, eligibility_conditions, array_to_string(restrictions, ', ')], lambda x: x IS NOT NULL AND x <> ''), E'\\n') AS text FROM extr""")
 def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
     """Filled fields in a fixed order, a line each."""
