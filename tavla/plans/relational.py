@@ -317,7 +317,7 @@ def extracted_documents(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT document_id, 'definition' AS category, phrase, field AS source_field FROM (SELECT document_id, unnest([waiting_period, qualifying_period]) AS phrase, unnest(['waiting_period', 'qualifying_period']) AS field
 FROM (SELECT * FROM document_extractions QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY created_date DESC) = 1)) WHERE phrase IS NOT NULL""")
 def candidate_phrases(spark: SparkSession, d: str) -> DataFrame:
-    """Phrases of text fields with their category and source."""
+    """Phrases of two text fields with their category and source; candidate_phrases_all has the reference's fields."""
     found = C.exploded_phrases(extractions(spark, d), "document_id", [("waiting_period", "definition"), ("qualifying_period", "definition")])
     return found.select("document_id", "category", "phrase", "source_field")
 
@@ -327,12 +327,37 @@ known AS (SELECT code, unnest(list_concat([canonical_name_he], coalesce(synonyms
 hits AS (SELECT phrase, code, k FROM items JOIN known ON contains(phrase, k) OR contains(k, phrase) WHERE phrase <> '' AND k <> '')
 SELECT i.phrase, h.code FROM items i LEFT JOIN (SELECT phrase, code FROM hits QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY length(k) DESC, k, code) = 1) h ON h.phrase = i.phrase WHERE i.phrase <> ''""")
 def code_normalize(spark: SparkSession, d: str) -> DataFrame:
-    """The code of the longest known phrase that holds a phrase or is held by it."""
+    """The code of the longest known phrase that holds an exclusion or is held by it; code_normalize_all has both fields."""
     phrases = table(spark, d, "document_extractions").select(F.explode("exclusions").alias("p")).select(F.lit("exclusion").alias("category"), X.strip(F.col("p")).alias("phrase")).where("phrase <> ''").distinct()
     dictionary = C.code_phrases(table(spark, d, "canonical_codes"), "code", "code_category", "canonical_name_he", "synonyms")
     return C.normalised_phrases(phrases, dictionary.where("category = 'exclusion'")).select("phrase", "code")
 
 
+#: The fields of the reference's candidate phrases that the tables have, and the categories of their codes.
+PHRASE_FIELDS = [("disease_list", "insured_event"), ("exclusions", "exclusion")]
+
+
+@query(f"WITH {EXTR} " + " UNION ALL ".join(f"SELECT document_id, '{c}' AS category, phrase, '{f}' AS source_field FROM (SELECT document_id, unnest({f}) AS phrase FROM extr) WHERE phrase IS NOT NULL" for f, c in PHRASE_FIELDS))
+def candidate_phrases_all(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases of the reference's list fields that the tables have, with their category and source."""
+    return C.exploded_phrases(extractions(spark, d), "document_id", PHRASE_FIELDS).select("document_id", "category", "phrase", "source_field")
+
+
+ITEMS_SQL = " UNION ".join(rf"SELECT '{c}' AS category, regexp_replace(x, '^{BLANK}|{BLANK}$', '', 'g') AS phrase FROM (SELECT unnest({f}) AS x FROM document_extractions)" for f, c in PHRASE_FIELDS)
+
+
+@query(f"""WITH items AS (SELECT * FROM ({ITEMS_SQL}) WHERE phrase <> ''), known AS (SELECT code_category AS category, code, unnest(list_concat([canonical_name_he], coalesce(synonyms, []))) AS k FROM canonical_codes),
+hits AS (SELECT i.category, phrase, code, k FROM items i JOIN known n ON n.category = i.category AND (contains(phrase, k) OR contains(k, phrase)) WHERE k <> '')
+SELECT i.category, i.phrase, h.code FROM items i LEFT JOIN (SELECT category, phrase, code FROM hits QUALIFY row_number() OVER (PARTITION BY category, phrase ORDER BY length(k) DESC, k, code) = 1) h ON h.category = i.category AND h.phrase = i.phrase""")
+def code_normalize_all(spark: SparkSession, d: str) -> DataFrame:
+    """For each phrase of a category the code of the longest known phrase of it that holds the phrase or is held by it; unmatched phrases have none."""
+    e = table(spark, d, "document_extractions")
+    items = F.concat(*[F.transform(F.coalesce(f, F.array().cast("array<string>")), lambda x: F.struct(F.lit(c).alias("category"), X.strip(x).alias("phrase"))) for f, c in ((F.col(f), c) for f, c in PHRASE_FIELDS)])
+    phrases = e.select(F.inline(items)).where("phrase <> ''").distinct()
+    dictionary = C.code_phrases(table(spark, d, "canonical_codes"), "code", "code_category", "canonical_name_he", "synonyms")
+    return C.normalised_phrases(phrases, dictionary).select("category", "phrase", "code")
+
+
 @query(f"WITH {CODES}, n AS (SELECT document_id, count(DISTINCT code) AS n, list_sort(list(DISTINCT code)) AS cs FROM codes WHERE document_id IS NOT NULL GROUP BY 1) SELECT document_id, (n - 1)::INT AS at, cs[n] AS code, cs[1] AS first FROM n")
 def code_by_index(spark: SparkSession, d: str) -> DataFrame:
     """A code chosen by its place, counted from zero; a place outside gives none."""
