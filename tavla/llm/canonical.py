@@ -336,14 +336,17 @@ class Matcher:
         """
         readings = [self.variants(v) for v in values]
         best: list[tuple | None] = [None] * len(values)
-        for radius in (1, 2, 4):
-            todo = [(n, r) for n, x in enumerate(readings) if best[n] is None for r in x]
+        for radius in (1, 2, 4, 8):
+            # Four transpositions are eight edits, and beyond four edits lie distances of three or more.
+            todo = [(n, r) for n, x in enumerate(readings) if best[n] is None or (radius > 4 and best[n][0] > 3) for r in x]
+            if radius > 4:
+                todo = [(n, r) for n, r in todo if len(r) > 10]  # three are accepted of twelve letters on; five edits then change the length by one
             if not todo:
                 break
             longest = int(self.tree.lengths.max(initial=0))
             todo = [(n, r) for n, r in todo if len(r) <= longest + radius]
             queries = [r for _, r in todo]
-            limits = np.array([min(radius, max(0, 2 * (len(r) // 6 + 1) if radius > 1 else 1)) for r in queries], np.int64)
+            limits = np.array([min(radius, 2 * ((len(r) + 4) // 6 + 1) if radius > 1 else 1) for r in queries], np.int64)
             for q, node, d in zip(*(x.tolist() for x in self.tree.within(queries, limits)), strict=True):
                 n, query, form = todo[q][0], queries[q], self.tree.forms[node]
                 exact = d if d < 2 else damerau(query, form)

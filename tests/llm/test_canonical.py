@@ -96,3 +96,11 @@ def test_distances():
         for b in s[12:24]:
             assert damerau(a, b) == damerau(b, a) <= levenshtein(a, b)
             assert all(damerau(a, c) <= damerau(a, b) + damerau(b, c) for c in s[24:])
+
+
+def test_transpositions_are_found_beyond_four_edits():
+    m = Matcher({"A": {"abcdefghijklmnop"}, "B": {"qrstuvwxyzabcdefghijkl"}, "C": {"qwerty"}}, set(), (), (), ())
+    swap = lambda s, *at: "".join(s[k - 1] if k - 1 in at else s[k + 1] if k in at else c for k, c in enumerate(s))
+    three, four = swap("abcdefghijklmnop", 1, 5, 9), swap("qrstuvwxyzabcdefghijkl", 1, 5, 9, 13)
+    assert (levenshtein(three, "abcdefghijklmnop"), levenshtein(four, "qrstuvwxyzabcdefghijkl")) == (6, 8)
+    assert m.match([three, four, "qewrt", swap("abcdefghijklmnop", 1, 3, 5, 9)]) == [("A", 3), ("B", 4), ("C", 2), (None, -1)]
