@@ -11,6 +11,7 @@ scanned where they lie and never shuffled.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import unicodedata
 from collections import defaultdict
@@ -131,6 +132,42 @@ def longest_passage(tiles: list[tuple[int, int, int]], item: np.ndarray, doc: np
     return best
 
 
+def longest_chain(seeds: list[tuple[int, int]], item: np.ndarray, doc: np.ndarray, min_match: int) -> int:
+    """As ``longest_passage``, over all maximal matches: a tile elsewhere takes no words from a passage."""
+    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)  # of each diagonal, by their beginnings
+    for i, d in sorted(seeds):
+        found = runs[d - i]
+        if found and found[-1][1] >= i + min_match - 1:
+            found[-1] = (found[-1][0], i + min_match)
+        else:
+            found.append((i, i + min_match))
+    starts = {diagonal: [b for b, _ in found] for diagonal, found in runs.items()}
+    best = 0
+    seen: set[tuple[int, int, int]] = set()
+    for diagonal, found in runs.items():
+        for begin, end in found:
+            before = _edge(item[:begin][::-1], doc[max(0, begin + diagonal - len(item)) : begin + diagonal][::-1])
+            todo = [(diagonal, begin, end)]
+            seen.clear()
+            while todo:
+                state = todo.pop()
+                if state in seen:
+                    continue
+                seen.add(state)
+                at, since, ei = state
+                best = max(best, ei - begin + before + _edge(item[ei:], doc[ei + at : ei + at + len(item)]))
+                for to in (at, at - 1):  # changed, left out
+                    k = bisect.bisect_right(starts.get(to, ()), ei + 1) - 1
+                    if k < 0:
+                        continue
+                    b, e = runs[to][k]
+                    # Words that both runs have may stand on either side of the left-out one.
+                    shift = max(0, min_match - (e - ei - 1))
+                    if e > ei + 1 and b <= ei + 1 - shift and ei - since - shift >= min_match:
+                        todo.append((to, ei + 1 - shift, e))
+    return best
+
+
 class ItemIndex:
     """The hashed word runs of one block of items."""
 
@@ -159,6 +196,11 @@ class ItemIndex:
 
     def matches(self, ids: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
         """(number of the item, tiles) of every item that shares a run of ``min_match`` words with a document."""
+        for n, found in self.seeds(ids):
+            yield n, tile(found, self.min_match)
+
+    def seeds(self, ids: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(number of the item, places in item and document of the runs of ``min_match`` words they share) of every such item."""
         m = self.min_match
         if len(ids) < m or not len(self.hashes):
             return
@@ -175,8 +217,7 @@ class ItemIndex:
                 n, i = int(self.owner[j]), int(self.at[j])
                 if np.array_equal(self.words[n][i : i + m], ids[d : d + m]):  # a hash proves nothing
                     seeds[n].append((i, d))
-        for n, found in seeds.items():
-            yield n, tile(found, m)
+        yield from seeds.items()
 
 
 def find_leaks(
@@ -227,9 +268,10 @@ def find_leaks(
                     rows = []
                     for key, text in zip(keys[part], whole[part], strict=True):
                         ids = ix.document_ids(text)
-                        for n, tiles in ix.matches(ids):
-                            item = ix.words[n]
-                            passage, tiled = longest_passage(tiles, item, ids), sum(t[2] for t in tiles)
+                        for n, seeds in ix.seeds(ids):
+                            item, tiles = ix.words[n], tile(seeds, min_match)
+                            passage = max(longest_passage(tiles, item, ids), longest_chain(seeds, item, ids, min_match))
+                            tiled = sum(t[2] for t in tiles)
                             if len(item) >= min_words and (passage >= min_words or (min_share is not None and tiled >= min_share * len(item))):
                                 rows.append((key, ix.keys[n], passage, tiled, len(item)))
                     columns = zip(*rows, strict=True) if rows else [[]] * len(arrow)

@@ -93,3 +93,8 @@ def test_index_agrees_with_itself():
 
 def test_words():
     assert words_of('‏שָלום, עולם! ש"ח A-1 b|c …') == ["שלום", "עולם", "שח", "a1", "b", "c"]
+
+
+def test_a_longer_copy_elsewhere_takes_no_words_from_a_passage(spark):
+    docs = [(1, text([*ITEM[:12], "אחר", "שונה", *changed(ITEM[:20], {10})])), (2, text([*ITEM[:12], "אחר", *changed(ITEM[:17], {10})])), (3, text([*ITEM[:12], "אחר", "שונה", *left_out(ITEM[:20], {10})]))]
+    assert run(spark, docs, [(100, " ".join(ITEM))]) == [(1, 100), (3, 100)]
