@@ -106,7 +106,7 @@ list_filter(list_transform(coalesce(insurance_amounts, []), lambda x: CASE WHEN
 
 @query(f"""WITH {EXTR}, {FP} SELECT document_id, {PERIOD_SQL.format(c='waiting_period')} AS waiting_days, list_min(list_transform(am, lambda a: a.v)) AS amount_min, list_max(list_transform(am, lambda a: a.v)) AS amount_max, am[1].c AS currency, n_exclusions, n_disease_list FROM parsed""")
 def fingerprint_features(spark: SparkSession, d: str) -> DataFrame:
-    """Numeric features of the extractions."""
+    """Numeric features of the extractions."""
     f = C.fingerprint(extractions(spark, d), amounts="insurance_amounts", waiting="waiting_period", qualifying="qualifying_period", survival="survival_period", counts=["exclusions", "disease_list"])
     return f.select("document_id", "waiting_days", "amount_min", "amount_max", "currency", F.col("n_exclusions"), F.col("n_disease_list"))
 
@@ -369,7 +369,7 @@ def rtl_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Leader clustering of the vectors of each company and domain, in the order of the ids."""
+    """Leader clustering of the vectors of each company and domain, in the order of the ids."""
     from tavla.plans.common import entities
 
     return L.leader_clusters(entities(spark, d), ["company", "domain"], "id", "vector", ["id"], 0.87)
