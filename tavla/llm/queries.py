@@ -12,7 +12,7 @@ from tavla.llm.grouping import connected_groups
 from tavla.llm.linkage import link_records
 from tavla.llm.listings import PASSES, common_words, document_features, listing_comparisons, listing_features
 from tavla.llm.neighbours import most_similar
-from tavla.llm.setjoin import similar_pairs
+from tavla.llm.setjoin import similar_links, similar_pairs
 from tavla.llm.splitting import split_oversized
 from tavla.session import cut, table
 
@@ -43,15 +43,25 @@ def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped_items(spark, sf_dir).where(F.col("code") == UNMATCHED).groupBy("source_field", "item").agg(F.count(F.lit(1)).alias("n"))
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_a < doc_b: documents with at least 10 codes each whose sets have a Jaccard coefficient of 0.75 or more."""
+def _code_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "document_canonical_codes").where(F.col("source_field").isin("disease_list", "exclusions"))
     code = F.upper(F.regexp_replace("code", r"^\s+|\s+$", ""))
-    sets = rows.select("document_id", F.when(code != "", F.array(code)).alias("codes"))
-    return similar_pairs(sets, "document_id", "codes", 0.75, min_size=10).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+    return rows.select("document_id", F.when(code != "", F.array(code)).alias("codes"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_a < doc_b: documents with at least 10 codes each whose sets have a Jaccard coefficient of 0.75 or more."""
+    pairs = similar_pairs(_code_sets(spark, sf_dir), "document_id", "codes", 0.75, min_size=10)
+    return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+
+
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_id, class_id, copies, links: the same links counted per document, copies not written out; documents of at least 10 codes."""
+    links = similar_links(_code_sets(spark, sf_dir), "document_id", "codes", 0.75, min_size=10)
+    return links.withColumnRenamed("record", "document_id")
 
 
-P3_SQL = r"""
+P3_COMMON = r"""
 WITH codes AS (
   SELECT DISTINCT document_id, upper(regexp_replace(code, '^\s+|\s+$', '', 'g')) AS code
   FROM document_canonical_codes
@@ -62,9 +72,16 @@ WITH codes AS (
   SELECT a.document_id AS doc_a, b.document_id AS doc_b, a.n + b.n - count(*) AS either, count(*) AS shared
   FROM sized a JOIN sized b ON a.code = b.code AND a.document_id < b.document_id
   WHERE a.n >= 10 AND b.n >= 10 GROUP BY a.document_id, b.document_id, a.n, b.n
-)
-SELECT doc_a, doc_b FROM common WHERE shared >= 0.75 * either
+), found AS (SELECT doc_a, doc_b FROM common WHERE shared >= 0.75 * either)
 """
+P3_SQL = P3_COMMON + "SELECT doc_a, doc_b FROM found"
+P3_LINKS_SQL = (
+    P3_COMMON
+    + """, sets AS (SELECT document_id, list(code ORDER BY code) AS s FROM sized WHERE n >= 10 GROUP BY document_id),
+ends AS (SELECT d, count(*) AS n FROM (SELECT doc_a AS d FROM found UNION ALL SELECT doc_b FROM found) GROUP BY d)
+SELECT document_id, min(document_id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS copies, coalesce(n, 0) AS links
+FROM sets LEFT JOIN ends ON d = document_id"""
+)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,5 +174,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where("piece_no = 1").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_pieces": p9_pieces}
-ORACLES = {"p3_found": P3_SQL, "p4_found": P4_SQL}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_pieces": p9_pieces}
+ORACLES = {"p3_found": P3_SQL, "p3_links": P3_LINKS_SQL, "p4_found": P4_SQL}

@@ -4,7 +4,7 @@ from itertools import combinations
 import pytest
 
 from tavla.llm import setjoin
-from tavla.llm.setjoin import merge_skip, similar_pairs
+from tavla.llm.setjoin import merge_skip, similar_links, similar_pairs
 
 
 def model(sets, threshold, least=1):
@@ -44,10 +44,41 @@ def test_edges(spark):
     assert run(spark, [], 0.75) == []
 
 
-def test_many_copies_are_starred(spark, monkeypatch):
-    monkeypatch.setattr(setjoin, "EXPANDED_COPIES", 3)
-    sets = [(f"{i}", ["x", "y", "z", "w"]) for i in range(5)] + [("9", ["x", "y", "z"])]
-    assert run(spark, sets, 0.75) == [("0", "1"), ("0", "2"), ("0", "3"), ("0", "4"), ("0", "9")]
+def test_large_classes_are_written_out(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "MEMBER_ROWS", 3)
+    sets = [(f"{i:02}", ["x", "y", "z", "w"]) for i in range(14)] + [(f"a{i}", ["x", "y", "z"]) for i in range(7)]
+    assert run(spark, sets, 0.75) == model(sets, 0.75)
+
+
+def test_copies_of_a_hot_set(spark):
+    df = spark.range(1200).selectExpr("cast(id as string) as k", "array('x', 'y', 'z') as s")
+    assert similar_pairs(df, "k", "s", 0.75).count() == 1200 * 1199 // 2
+    links = similar_links(df, "k", "s", 0.75).collect()
+    assert {(r["class_id"], r["copies"], r["links"]) for r in links} == {("0", 1200, 1199)} and len(links) == 1200
+
+
+def test_links(spark):
+    rng = random.Random(5)
+    sets = [(f"d{i:02}", [f"c{x}" for x in rng.sample(range(9), 6)]) for i in range(60)]
+    df = spark.createDataFrame([(k, s, 1) for k, s in sets], "k string, s array<string>, links int")
+    pairs = model(sets, 0.7)
+    want = [(k, min(o for o, t in sets if set(t) == set(s)), sum(set(t) == set(s) for _, t in sets), sum(k in p for p in pairs)) for k, s in sets]
+    assert sorted(tuple(r) for r in similar_links(df, "k", "s", 0.7, block_rows=6).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("threshold", [0.75, 0.3])
+def test_lists_hot_at_every_depth(spark, threshold):
+    """All sets share their rarest items, so that lists are parted as far as they can be and then cut by size."""
+    rng = random.Random(3)
+    sets = [(f"{i:03}", ["a", "b", "c", "d", *{f"r{rng.randrange(12)}" for _ in range(rng.randrange(9))}]) for i in range(150)]
+    sets += [(f"s{i}", [f"r{k}" for k in range(12) if k != i]) for i in range(12)] * 3
+    sets += [(f"t{i}{k}", [f"r{k}", "e"]) for i in range(40) for k in range(12)]
+    assert run(spark, sets, threshold, block_rows=9) == model(sets, threshold)
+
+
+def test_split_lists():
+    assert setjoin.split_lists([[1]] * 3, 1) == 3
+    assert setjoin.split_lists([[1], [1, 2], list(range(10_000))], 2) == 2
 
 
 def test_hot_item_is_joined_in_blocks(spark):
