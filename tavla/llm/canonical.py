@@ -2,8 +2,9 @@
 
 The reference forms stand in a BK-tree under the Levenshtein distance, a true metric; a node's child at edge e
 can hold an answer within r of a query only if e lies within r of the query's distance to the node. Queries run through the tree in
-batches: one bit-parallel distance computation serves all (query, node) pairs of a level. The tree is broadcast;
-a list above ``SHARD_FORMS`` forms is cut into shards, and the winners of the shards are merged.
+batches: one bit-parallel distance computation serves all (query, node) pairs of a level. Every distinct value is searched once.
+The tree is broadcast; a list above ``SHARD_FORMS`` finished forms is cut into shards, and the winners of the shards are
+merged by the whole score. What depends on the list as a whole (implied forms, known words) is derived before it is cut.
 
 The forms of an entry are its name and synonyms and what the list itself implies: where many entries share the
 first part of their code and the beginning of a form, or the last part and the end of a form, beginnings and ends are recombined.
@@ -16,15 +17,16 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tavla.session import cut
+from tavla.session import cut, discard
 
 UNMATCHED = "UNMATCHED"
 
@@ -35,17 +37,20 @@ REMEMBERED = 200_000
 #: (query, node) pairs whose distances are computed at a time.
 PAIRS_AT_ONCE = 200_000
 
-#: A word outside the list is one in its own right if it is at least this share of all words typed, so at most 1 / share words are.
+#: A word outside the list is one in its own right if it is at least this share of the words of all distinct values, so at most 1 / share words are.
 OWN_WORD_SHARE = 1 / 8_000
-
-# Final letters and the letters they stand for; carrier phrases around an item.
+#: Distinct words of the list, a category each, that may be broadcast (16 bytes each); a list of more is refused.
+MOST_WORDS = 16_000_000
+#: A value that is more than this share of all rows gets its answer by broadcast (at most 1 / share values), the others by shuffle.
+HOT_SHARE = 1 / 2_000
+#: Codes that must share a beginning or an end for it to be recombined.
+SUPPORT = 3
+
+# Final letters and the letters they stand for.
 FINAL_LETTERS = str.maketrans("ךםןףץ", "כמנפצ")
-OPENERS = ("מקרה של", "עקב", "לרבות", "אירוע", "אובחן", "בגין", "כל", "תביעה הנובעת מ")
-CLOSERS = ("באישור רופא", "וסיבוכיו", "ראה סעיף 4", "לפי הגדרה", "כהגדרתו בפוליסה")
-#: Other ways to write a form: (pattern, replacement) applied to the forms of the list.
-REWRITES = ((" של ה", " ב"), (" של ", " ב"))
 
 _QUOTES = re.compile(r"['\"`׳״’‘“”]")
+_MARKS = regex.compile(r"[\p{Mn}\p{Cf}]+")
 _OTHER = re.compile(r"[^\w\s]|_")
 _REFERENCE = re.compile(r"\[[^\]]*\]\s*[^\w]*$")
 _SEPARATOR = re.compile(r"\s*[:,;]\s+|\s+[-–]\s+|\*\s*-\s+")
@@ -53,9 +58,9 @@ _SEPARATOR = re.compile(r"\s*[:,;]\s+|\s+[-–]\s+|\*\s*-\s+")
 
 def bare(text: str) -> str:
     """Text without vowel points and invisible marks, in lower case, final letters as the others."""
-    text = unicodedata.normalize("NFKC", text)
-    text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf"))
-    return text.casefold().translate(FINAL_LETTERS)
+    if text.isascii():
+        return text.casefold()
+    return _MARKS.sub("", unicodedata.normalize("NFKC", text)).casefold().translate(FINAL_LETTERS)
 
 
 def plain(text: str) -> str:
@@ -64,9 +69,18 @@ def plain(text: str) -> str:
 
 
 def damerau(a: Sequence, b: Sequence) -> int:
-    """Damerau-Levenshtein distance with unrestricted transpositions."""
+    """Damerau-Levenshtein distance with unrestricted transpositions. A common beginning and end don't matter."""
     if a == b:
         return 0
+    lo, least = 0, min(len(a), len(b))
+    while lo < least and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < least - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    if not a or not b or (len(a) == 1 and len(b) == 1):
+        return max(len(a), len(b))
     last: dict = {}
     far = len(a) + len(b)
     d = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]
@@ -92,6 +106,19 @@ def near_carrier(got: str, carrier: str) -> bool:
     return damerau(got, carrier) <= 1 + (len(carrier) > 7)
 
 
+@lru_cache(REMEMBERED)
+def word_distance(a: str, b: str) -> int:
+    return damerau(a, b)
+
+
+def bag_distance(a: str, b: str) -> int:
+    """Letters of the longer rest after what both texts have is taken away: no edit distance, transpositions included, is smaller."""
+    rest = Counter(a)
+    rest.subtract(b)
+    more = sum(n for n in rest.values() if n > 0)
+    return max(more, more + len(b) - len(a))
+
+
 def levenshtein(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -197,97 +224,139 @@ class BKTree:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def implied_forms(entries: list[tuple[str, list[str]]], support: int = 3) -> dict[str, set[str]]:
-    """code -> plain forms of it: its own, and those that recombine beginnings and ends.
+def finished_forms(entries: DataFrame, rewrites: Sequence[tuple[str, str]], support: int = SUPPORT) -> DataFrame:
+    """``c, form, k``: every plain form of a category with the code it stands for, from entries ``c, k, t`` (category, code, texts).
 
-    A form is parted where its beginning is shared by the most entries with the same first part of their code and its end
-    by the most with the same last part, at least ``support`` of each.
+    Beside its own forms a code has those that recombine beginnings and ends: a form is parted where its beginning is shared by the most
+    codes with the same first part and its end by the most with the same last part, at least ``support`` of each. A written form
+    wins over one that ``rewrites`` make, then the smaller code.
     """
-    forms: dict[str, set[str]] = {}
-    for code, texts in entries:
-        forms.setdefault(code, set()).update(p for t in texts if t and (p := plain(bare(t))))
-    parts = {code: code.split("_", 1) for code in forms if code.count("_") == 1}
-    begins, ends = Counter(), Counter()
-    for code, (first, last) in parts.items():
-        for f in forms[code]:
-            words = f.split()
-            for k in range(1, len(words)):
-                begins[first, " ".join(words[:k])] += 1
-                ends[last, " ".join(words[k:])] += 1
-    heads, tails = defaultdict(set), defaultdict(set)
-    for code, (first, last) in parts.items():
-        for f in forms[code]:
-            words = f.split()
-            best = max(((min(begins[first, " ".join(words[:k])], ends[last, " ".join(words[k:])]), k) for k in range(1, len(words))), default=(0, 0))
-            if best[0] >= support:
-                heads[first].add(" ".join(words[: best[1]]))
-                tails[last].add(" ".join(words[best[1] :]))
-    latin = lambda s: s.isascii()
-    out = {code: set(x) for code, x in forms.items()}
-    for code, (first, last) in parts.items():
-        out[code] |= {f"{a} {b}" for a in heads[first] for b in tails[last] if latin(a) == latin(b)}
-    return out
+
+    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(c, k, p) for c, k, ts in zip(pdf["c"], pdf["k"], pdf["t"], strict=True) for t in ts if t and (p := plain(bare(t)))]
+            yield pd.DataFrame(rows, columns=["c", "k", "form"])
+
+    own = cut(entries.mapInPandas(flatten, "c string, k string, form string").distinct())
+    part = F.split("k", "_")
+    parted = own.where(F.size(part) == 2).select("c", "k", "form", part[0].alias("first"), part[1].alias("last"), F.split("form", " ").alias("words"))
+    at = F.explode(F.sequence(F.lit(1), F.size("words") - 1))
+    cuts = parted.where(F.size("words") > 1).select("*", at.alias("at"))
+    cuts = cuts.select(
+        "c", "k", "form", "first", "last", "at", F.array_join(F.slice("words", F.lit(1), F.col("at")), " ").alias("head"), F.array_join(F.slice("words", F.col("at") + 1, F.size("words")), " ").alias("tail")
+    )
+    begins = cuts.groupBy("c", "first", "head").agg(F.count(F.lit(1)).alias("nb"))
+    ends = cuts.groupBy("c", "last", "tail").agg(F.count(F.lit(1)).alias("ne"))
+    counted = cuts.join(begins, ["c", "first", "head"]).join(ends, ["c", "last", "tail"])
+    best = cut(
+        counted.groupBy("c", "k", "form", "first", "last").agg(F.max(F.struct(F.least("nb", "ne").alias("n"), "at", "head", "tail")).alias("b")).where(F.col("b.n") >= support).select("c", "first", "last", "b.head", "b.tail")
+    )
+    latin = lambda c: c.rlike(r"^\p{ASCII}*$")
+    heads = best.select("c", "first", "head", latin(F.col("head")).alias("script")).distinct()
+    tails = best.select("c", "last", "tail", latin(F.col("tail")).alias("script")).distinct()
+    codes = parted.select("c", "k", "first", "last").distinct()
+    implied = codes.join(heads, ["c", "first"]).join(tails, ["c", "last", "script"]).select("c", "k", F.concat_ws(" ", "head", "tail").alias("form"))
+    patterns = [(plain_rewrite(old), new) for old, new in rewrites]
+
+    def rewritten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for c, k, f in zip(pdf["c"], pdf["k"], pdf["form"], strict=True):
+                rows.append((c, k, f, 0))
+                rows += [(c, k, " ".join(f.replace(old, new, 1).split()), 1) for old, new in patterns if old in f]
+            yield pd.DataFrame(rows, columns=["c", "k", "form", "level"])
+
+    every = own.unionByName(implied).mapInPandas(rewritten, "c string, k string, form string, level int")
+    return cut(every.groupBy("c", "form").agg(F.min(F.struct("level", "k")).alias("b")).select("c", "form", F.col("b.k").alias("k")))
+
+
+class Words:
+    """The words of the list, or with ``category`` those of one category, held by their 64-bit hashes as Spark's xxhash64 gives them."""
+
+    def __init__(self, hashes: np.ndarray, category: str | None = None):
+        self.hashes = hashes  # sorted
+        self.before = "" if category is None else category + "\0"
+        self.asked: dict[str, bool] = {}
+
+    def __contains__(self, word: str) -> bool:
+        got = self.asked.get(word)
+        if got is None:
+            if len(self.asked) > REMEMBERED:
+                self.asked.clear()
+            h = np.uint64(xxhash.xxh64_intdigest((self.before + word).encode(), 42)).astype(np.int64)
+            at = int(np.searchsorted(self.hashes, h))
+            got = self.asked[word] = at < len(self.hashes) and bool(self.hashes[at] == h)
+        return got
 
 
 class Matcher:
     """Maps typed values to codes by one shard of the forms of one category."""
 
-    def __init__(self, forms: dict[str, set[str]], own_words: set[str], rewrites: Sequence[tuple[str, str]], openers: Sequence[str], closers: Sequence[str]):
-        codes: dict[str, str] = {}
-        for code in sorted(forms):
-            for f in forms[code]:
-                codes.setdefault(f, code)
-        for code in sorted(forms):  # a written form wins over a rewritten one
-            for f in forms[code]:
-                for old, new in rewrites:
-                    codes.setdefault(" ".join(f.replace(plain_rewrite(old), new, 1).split()) if plain_rewrite(old) in f else f, code)
+    def __init__(self, codes: dict[str, str], known: Words | set[str], own_words: set[str], openers: Sequence[str], closers: Sequence[str]):
         self.tree = BKTree(sorted(codes))
         self.codes = [codes[f] for f in self.tree.forms]
         self.own_words = own_words
-        self.known = {w for f in self.tree.forms for w in f.split()}
+        self.known = known
         self.own_by_length: dict[int, list[str]] = defaultdict(list)
         for w in sorted(own_words):
             self.own_by_length[len(w)].append(w)
-        self.openers = sorted((plain(bare(x)) for x in openers), key=len, reverse=True)
-        self.closers = sorted((plain(bare(x)) for x in closers), key=len, reverse=True)
+        self.openers = [(c, c.replace(" ", ""), c.count(" ") + 1) for c in sorted((plain(bare(x)) for x in openers), key=len, reverse=True)]
+        self.closers = [(c, c.replace(" ", ""), c.count(" ") + 1) for c in sorted((plain(bare(x)) for x in closers), key=len, reverse=True)]
+        self.reach = 1 + max((k for _, _, k in (*self.openers, *self.closers)), default=1)
+        self.opened: dict[tuple, tuple[int, str] | None] = {}
+        self.closed: dict[tuple, int] = {}
 
     def _misspelt(self, got: str, carrier: str) -> bool:
         """Is this the carrier with one letter wrong (two in a long one), and no word of the list?"""
         return len(carrier) > 3 and abs(len(got) - len(carrier)) <= 1 + (len(carrier) > 7) and got not in self.known and near_carrier(got, carrier)
 
+    def _opener(self, words: tuple[str, ...], more: bool) -> tuple[int, str] | None:
+        """(words taken by a carrier at the beginning, rest of the last of them); ``more`` tells whether further words follow."""
+        for carrier, want, k in self.openers:
+            for n in dict.fromkeys((k, max(1, k - 1), k + 1)) if k > 1 else (1,):
+                if n > len(words) or (n == len(words) and not more):
+                    continue
+                got = "".join(words[:n])
+                # A one-letter end of the carrier is written together with the next word.
+                if carrier[-2:-1] == " " and n == k and got.startswith(want) and len(got) > len(want) + 1:
+                    return n, got[len(want) :]
+                if got == want or self._misspelt(got, want):
+                    return n, ""
+        return None
+
+    def _closer(self, words: tuple[str, ...], more: bool) -> int:
+        """Words taken by a carrier at the end."""
+        for _, want, k in self.closers:
+            for n in dict.fromkeys((k, max(1, k - 1), k + 1)) if k > 1 else (1,):
+                if n < len(words) or (n == len(words) and more):
+                    got = "".join(words[-n:])
+                    if got == want or self._misspelt(got, want):
+                        return n
+        return 0
+
     def _strip(self, words: list[str]) -> Iterator[list[str]]:
         """The words, and the words without each carrier that stands, perhaps misspelt, at either end."""
         yield words
+        if len(self.opened) > REMEMBERED or len(self.closed) > REMEMBERED:
+            self.opened.clear(), self.closed.clear()
         changed = True
         while changed and words:
             changed = False
-            for carrier in self.openers:
-                k = carrier.count(" ") + 1
-                for n in dict.fromkeys((k, max(1, k - 1), k + 1)) if k > 1 else (1,):
-                    got, want = "".join(words[:n]), carrier.replace(" ", "")
-                    if n >= len(words):
-                        continue
-                    # A one-letter end of the carrier is written together with the next word.
-                    if carrier[-2:-1] == " " and n == k and got.startswith(want) and len(got) > len(want) + 1:
-                        words, changed = [got[len(want) :], *words[n:]], True
-                        yield words
-                        break
-                    if got == want or self._misspelt(got, want):
-                        words, changed = words[n:], True
-                        yield words
-                        break
-                if changed:
-                    break
-            for carrier in self.closers:
-                k = carrier.count(" ") + 1
-                for n in dict.fromkeys((k, max(1, k - 1), k + 1)) if k > 1 else (1,):
-                    got, want = "".join(words[-n:]), carrier.replace(" ", "")
-                    if n < len(words) and (got == want or self._misspelt(got, want)):
-                        words, changed = words[:-n], True
-                        yield words
-                        break
-                if changed:
-                    break
+            more = len(words) > self.reach
+            # The same few beginnings and ends come again and again.
+            key = (more, *words[: self.reach])
+            if key not in self.opened:
+                self.opened[key] = self._opener(key[1:], more)
+            if found := self.opened[key]:
+                words, changed = [*([found[1]] if found[1] else []), *words[found[0] :]], True
+                yield words
+            more = len(words) > self.reach
+            key = (more, *words[-self.reach :])
+            if key not in self.closed:
+                self.closed[key] = self._closer(key[1:], more)
+            if n := self.closed[key]:
+                words, changed = words[:-n], True
+                yield words
             if not changed and len(words) > 1 and (words[0].isdigit() or len(words[0]) == 1):  # an enumeration
                 words, changed = words[1:], True
                 yield words
@@ -314,50 +383,70 @@ class Matcher:
         """Does the query hold a word that no word of the form stands for: one of the list's or one in its own right, one
         closer to such a word, or one unlike all?"""
         words = form.split()
-        there = [*words, *map("".join, zip(words, words[1:], strict=False))]  # a blank may be missing
+        there = {*words, *map("".join, zip(words, words[1:], strict=False))}  # a blank may be missing
         for w in query.split():
             if w in there or w.isdigit() or len(w) < 3:
                 continue
-            far = min(damerau(w, x) if abs(len(w) - len(x)) < 4 else 4 for x in there)
+            far = 4
+            for x in there:
+                if abs(len(w) - len(x)) < far:
+                    far = min(far, word_distance(w, x))
+                    if far < 2:
+                        break
             if far < 2:
                 continue
             if w in self.own_words or w in self.known or far > max(2, len(w) // 2):
                 return True
             for n in range(len(w) - 3, len(w) + 4):
                 for x in self.own_by_length.get(n, ()):
-                    if abs(n - len(w)) < far and damerau(w, x) < min(far, len(w) // 3 + 1):
+                    if abs(n - len(w)) < far and word_distance(w, x) < min(far, len(w) // 3 + 1):
                         return True
         return False
 
-    def match(self, values: list[str]) -> list[tuple[str | None, int]]:
-        """(code or None, distance) of every value: the closest form within a sixth of its length plus one, four at most.
+    def match(self, values: list[str]) -> list[tuple[int, int, int, str] | None]:
+        """The score of every value's closest form within a sixth of its length plus one, four at most; None where there is none.
 
-        Distances count a transposition as one; ties go to the smaller Levenshtein distance, then the longer reading, then the smaller code.
+        A score is (distance, Levenshtein distance, -length of the reading, code), the smallest wins: distances count a
+        transposition as one, so the tree is asked for forms within twice the accepted distance, as far as needed.
         """
         readings = [self.variants(v) for v in values]
         best: list[tuple | None] = [None] * len(values)
+        longest = int(self.tree.lengths.max(initial=0))
         for radius in (1, 2, 4, 8):
             # Four transpositions are eight edits, and beyond four edits lie distances of three or more.
-            todo = [(n, r) for n, x in enumerate(readings) if best[n] is None or (radius > 4 and best[n][0] > 3) for r in x]
-            if radius > 4:
-                todo = [(n, r) for n, r in todo if len(r) > 10]  # three are accepted of twelve letters on; five edits then change the length by one
-            if not todo:
+            asked: dict[str, list[int]] = defaultdict(list)
+            for n, x in enumerate(readings):
+                if best[n] is None or (radius > 4 and best[n][0] > 3):
+                    for r in x:
+                        # Three are accepted of twelve letters on; five edits then change the length by one.
+                        if len(r) <= longest + radius and (radius <= 4 or len(r) > 10):
+                            asked[r].append(n)
+            if not asked:
                 break
-            longest = int(self.tree.lengths.max(initial=0))
-            todo = [(n, r) for n, r in todo if len(r) <= longest + radius]
-            queries = [r for _, r in todo]
+            queries = list(asked)
             limits = np.array([min(radius, 2 * ((len(r) + 4) // 6 + 1) if radius > 1 else 1) for r in queries], np.int64)
-            for q, node, d in zip(*(x.tolist() for x in self.tree.within(queries, limits)), strict=True):
-                n, query, form = todo[q][0], queries[q], self.tree.forms[node]
-                exact = d if d < 2 else damerau(query, form)
-                if exact > min(4, len(form) // 6 + 1) or (exact > 1 and len(form) < 5):
+            q, node, d = self.tree.within(queries, limits)
+            order = np.argsort(d, kind="stable")
+            near: dict[int, tuple] = {}  # the best score of every reading
+            for q, node, d in zip(q[order].tolist(), node[order].tolist(), d[order].tolist(), strict=True):
+                query, form = queries[q], self.tree.forms[node]
+                most = min(4, len(form) // 6 + 1) if len(form) > 4 else 1
+                held = near.get(q)
+                if held is not None:
+                    most = min(most, held[0])
+                if (d + 1) // 2 > most or (d > 1 and bag_distance(query, form) > most):
                     continue
-                if exact and self._strange(query, form):
+                exact = d if d < 2 else damerau(query, form)
+                if exact > most:
                     continue
                 score = (exact, d, -len(query), self.codes[node])
-                if best[n] is None or score < best[n]:
-                    best[n] = score
-        return [(b[3], b[0]) if b else (None, -1) for b in best]
+                if (held is None or score < held) and not (exact and self._strange(query, form)):
+                    near[q] = score
+            for q, score in near.items():
+                for n in asked[queries[q]]:
+                    if best[n] is None or score < best[n]:
+                        best[n] = score
+        return best
 
 
 def plain_rewrite(old: str) -> str:
@@ -365,17 +454,35 @@ def plain_rewrite(old: str) -> str:
     return old.casefold().translate(FINAL_LETTERS)
 
 
-def own_words(frequent: set[str], known: set[str], openers: Sequence[str], closers: Sequence[str]) -> set[str]:
-    """The frequent words that are no misspelling, joining or prefixing of known ones."""
-    known = known | {w for c in (*openers, *closers) for w in plain(bare(c)).split()}
-    tree = BKTree(sorted(known))
-    left = sorted(w for w in frequent - known if not w.isdigit() and len(w) > 1)
-    near: set[str] = set()
-    for q, node, d in zip(*tree.within(left, np.full(len(left), 2)), strict=True):
-        if d < 2 or damerau(left[q], tree.forms[node]) < 2:
-            near.add(left[q])
-    joined = {w for w in left if any(w[:k] in known and w[k:] in known for k in range(2, len(w) - 1))}
-    return set(left) - near - joined
+def own_words(frequent: list[str], near: set[str], known: Words | set[str], openers: Sequence[str], closers: Sequence[str]) -> set[str]:
+    """The frequent words that are no misspelling (``near``), joining or prefixing of known ones or of carriers' words."""
+    carriers = {w for c in (*openers, *closers) for w in plain(bare(c)).split()}
+    has = lambda w: w in carriers or w in known
+    left = sorted(w for w in frequent if not has(w) and not w.isdigit() and len(w) > 1 and w not in near)
+    close = {w for w in left for c in carriers if abs(len(w) - len(c)) < 2 and damerau(w, c) < 2}
+    return {w for w in left if w not in close and not any(has(w[:k]) and has(w[k:]) for k in range(2, len(w) - 1))}
+
+
+def shortened_keys(word: str) -> list[str]:
+    """The word and what one letter left out makes of it: words within one edit or transposition share one of them."""
+    return [word, *{word[:k] + word[k + 1 :] for k in range(len(word))}]
+
+
+def _near_words(frequent: DataFrame, words: DataFrame) -> set[str]:
+    """The frequent words (column w, a bounded number) within one edit of a word of the list."""
+    rows = [(w, k) for (w,) in frequent.select("w").toLocalIterator() for k in shortened_keys(w)]
+    if not rows:
+        return set()
+    asked = frequent.sparkSession.createDataFrame(rows, "w string, key string")
+    keys = F.array_union(F.array("x"), F.transform(F.sequence(F.lit(1), F.length("x")), lambda i: F.concat(F.substring("x", F.lit(1), i - 1), F.substring("x", i + 1, F.length("x")))))
+    listed = words.select(F.col("w").alias("x")).select("x", F.explode(keys).alias("key"))
+    pairs = listed.join(F.broadcast(asked), "key").select("w", "x").distinct()
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"w": [w for w, x in zip(pdf["w"], pdf["x"], strict=True) if damerau(w, x) < 2]}, dtype=object)
+
+    return {r["w"] for r in pairs.mapInPandas(close, "w string").distinct().collect()}
 
 
 def map_to_canonical(
@@ -389,71 +496,91 @@ def map_to_canonical(
     name: str,
     synonyms: str,
     out: str = "matched_code",
-    openers: Sequence[str] = OPENERS,
-    closers: Sequence[str] = CLOSERS,
-    rewrites: Sequence[tuple[str, str]] = REWRITES,
+    openers: Sequence[str] = (),
+    closers: Sequence[str] = (),
+    rewrites: Sequence[tuple[str, str]] = (),
     own_word_share: float = OWN_WORD_SHARE,
     shard_forms: int = SHARD_FORMS,
 ) -> DataFrame:
     """``items`` with ``out``: the code of the entry of the item's category that its value means, or ``UNMATCHED``.
 
-    Every row of ``items`` gives one row; no shuffle of the items is needed for the search, so common values cost no
-    more than others. ``own_word_share`` guards against words that lie close to the list but mean something else:
-    a word typed that often is no misspelling (counted over all items).
+    Every row of ``items`` gives one row. Distinct values are searched once; their answers come back to the rows by broadcast for values that
+    make a large share of all rows, by shuffle for the others. ``openers`` and ``closers`` are carrier phrases around an
+    item, ``rewrites`` other ways to write a form. ``own_word_share`` guards against words that lie close to the list but mean
+    something else: a word in that many distinct values is no misspelling.
 
     Defined results: null and blank values and those of unknown or null categories are UNMATCHED; null or empty
-    synonyms leave the name alone; entries with a null code are ignored; an empty list leaves all UNMATCHED; further
-    columns are kept, except that ``out`` replaces one of its name.
+    synonyms leave the name alone; entries with a null code or category are ignored; an empty list leaves all UNMATCHED; further
+    columns are kept, except that ``out`` replaces one of its name. The result doesn't depend on the number of shards.
     """
     spark = items.sparkSession
-    rows = reference.where(F.col(code).isNotNull()).select(
-        F.col(code_category).alias("c"), F.col(code).alias("k"), F.concat(F.array(F.col(name)), F.coalesce(F.col(synonyms), F.array().cast("array<string>"))).alias("t")
-    )
-    shards = int(rows.count() * 4 // shard_forms) + 1
+    texts = F.concat(F.array(F.col(name)), F.coalesce(F.col(synonyms), F.array().cast("array<string>")))
+    entries = reference.where(F.col(code).isNotNull() & F.col(code_category).isNotNull()).select(F.col(code_category).alias("c"), F.col(code).alias("k"), texts.alias("t"))
+    forms = finished_forms(entries, rewrites)
+    told = cut(forms.select("c", F.explode(F.split("form", " ")).alias("w")).distinct())
+    if told.count() > MOST_WORDS:
+        raise ValueError(f"the list has more than {MOST_WORDS} distinct words")
+    listed = told.select("w").distinct()
+    hashes = told.select(F.explode(F.array(F.xxhash64("w"), F.xxhash64(F.concat("c", F.lit("\0"), "w")))).alias("h")).toArrow()["h"].to_numpy()
+    hashes = np.unique(hashes)
+
+    asked = items.groupBy(F.col(category).alias("c"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    values = cut(asked.where("c is not null and v is not null"))
+
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counts = Counter(w for v in pdf["v"] if v for w in plain(bare(v)).split())
+            counts = Counter(w for v in pdf["v"] for w in plain(bare(v)).split())
             if counts:  # blank values alone have no words
                 yield pd.DataFrame({"w": list(counts), "n": list(counts.values())})
 
-    typed = cut(items.select(F.col(value).alias("v")).mapInPandas(split, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
-    known = rows.select(F.explode("t").alias("v")).mapInPandas(split, "w string, n bigint").select("w").distinct()
-    total = typed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    typed = cut(values.select("v").mapInPandas(split, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
+    totals = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).crossJoin(typed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"))).first()
     # At most 1 / share words; each is one in its own right.
-    own = {r["w"] for r in typed.where(F.col("n") >= F.greatest(F.lit(3), F.lit(total * own_word_share))).join(known, "w", "left_anti").collect()}
-    own = own_words(own, {r["w"] for r in known.collect()} if own else set(), openers, closers)
+    frequent = typed.where(F.col("n") >= max(3, totals["words"] * own_word_share)).join(listed, "w", "left_anti")
+    own = own_words([r["w"] for r in frequent.collect()], _near_words(frequent, listed), Words(hashes), openers, closers)
+
+    shards = -(-forms.count() // shard_forms) or 1
+    schema = "c string, v string, far int, edits int, reading int, code string"
 
-    def answers(df: DataFrame, shard: DataFrame) -> DataFrame:
-        entries: dict[str, list[tuple[str, list[str]]]] = defaultdict(list)
+    def answers(shard: DataFrame) -> DataFrame:
+        codes: dict[str, dict[str, str]] = defaultdict(dict)
         for r in shard.toLocalIterator():
-            entries[r["c"]].append((r["k"], r["t"]))
-        parts = {cat: Matcher(implied_forms(x), own, rewrites, openers, closers) for cat, x in entries.items()}
-        sent = spark.sparkContext.broadcast(parts)
-        schema = T.StructType([*df.schema.fields, *([] if "__best" in df.columns else [T.StructField("__best", T.StringType()), T.StructField("__far", T.IntegerType())])])
+            codes[r["c"]][r["form"]] = r["k"]
+        sent = spark.sparkContext.broadcast({c: Matcher(x, Words(hashes, c), own, openers, closers) for c, x in codes.items()})
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            remembered: dict[tuple[str, str], tuple[str | None, int]] = {}
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                keys = list(zip(pdf[category], pdf[value], strict=True))
-                if len(remembered) > REMEMBERED:
-                    remembered.clear()
-                new = defaultdict(list)
-                for c, v in dict.fromkeys(keys):
-                    if (c, v) not in remembered and c in sent.value and isinstance(v, str) and v.strip():
-                        new[c].append(v)
-                for c, values in new.items():
-                    remembered.update(zip(((c, v) for v in values), sent.value[c].match(values), strict=True))
-                got = [remembered.get(k, (None, -1)) for k in keys]
-                if "__best" in pdf:
-                    old = list(zip(pdf["__best"], pdf["__far"], strict=True))
-                    got = [min((x for x in pair if isinstance(x[0], str)), key=lambda x: (x[1], x[0]), default=(None, -1)) for pair in zip(got, old, strict=True)]
-                yield pdf.assign(__best=[g[0] for g in got], __far=[g[1] for g in got])
-
-        return df.mapInPandas(run, schema)
-
-    found = items
-    for s in range(shards):
-        found = answers(found, rows if shards == 1 else rows.where(F.pmod(F.xxhash64("k"), F.lit(shards)) == s))
-    return found.withColumn(out, F.coalesce("__best", F.lit(UNMATCHED))).drop("__best", "__far")
+                rows = []
+                for c, part in pdf.groupby("c", sort=False)["v"]:
+                    if c in sent.value:
+                        got = part.tolist()
+                        rows += [(c, v, *s) for v, s in zip(got, sent.value[c].match(got), strict=True) if s]
+                yield pd.DataFrame(rows, columns=["c", "v", "far", "edits", "reading", "code"])
+
+        # Written at once, so that the driver and the executors hold one shard at a time.
+        found = cut(values.select("c", "v").repartition(spark.sparkContext.defaultParallelism, "c", "v").mapInPandas(run, schema))
+        sent.destroy()
+        return found
+
+    parts = [answers(forms if shards == 1 else forms.where(F.pmod(F.xxhash64("form"), F.lit(shards)) == s)) for s in range(shards)]
+    score = F.struct("far", "edits", "reading", "code")
+    won = cut(reduce(DataFrame.unionByName, parts).groupBy("c", "v").agg(F.min(score).alias("s")).select("c", "v", F.col("s.code").alias("__code")))
+    for table in (typed, forms, told, *parts):
+        discard(table)
+    keyed = won.select(F.col("c").alias("__c"), F.col("v").alias("__v"), "__code")
+    # Every row of the most common values looks its answer up; the others go through a shuffle. A row that has its answer is dealt anywhere.
+    hot = values.where(F.col("n") > totals["rows"] * HOT_SHARE).select(F.col("c").alias("__c"), F.col("v").alias("__v"))
+    common = hot.join(keyed, ["__c", "__v"], "left").select("__c", "__v", F.coalesce("__code", F.lit(UNMATCHED)).alias("__hot"))
+    dealt = [c for c, t in items.dtypes if "map<" not in t and "variant" not in t]
+    plain_items = items.drop(out) if out in items.columns and out not in (value, category) else items
+    marked = plain_items.join(F.broadcast(common), (F.col(category) == F.col("__c")) & (F.col(value) == F.col("__v")), "left").drop("__c", "__v")
+    cold = marked.withColumns(
+        {
+            "__cold": F.col("__hot").isNull() & F.col(value).isNotNull(),
+            "__cat": F.coalesce(F.col(category), F.lit("")),
+            "__key": F.when(F.col("__hot").isNull() & F.col(value).isNotNull(), F.col(value)).otherwise(F.xxhash64(*[c for c in dealt if c in plain_items.columns]).cast("string")),
+        }
+    )
+    rest = keyed.select(F.lit(True).alias("__cold"), F.col("__c").alias("__cat"), F.col("__v").alias("__key"), "__code")
+    found = cold.join(rest, ["__cold", "__cat", "__key"], "left")
+    return found.withColumn(out, F.coalesce("__hot", "__code", F.lit(UNMATCHED))).drop("__hot", "__code", "__key", "__cold", "__cat")

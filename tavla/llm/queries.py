@@ -17,6 +17,12 @@ from tavla.llm.splitting import split_oversized
 from tavla.session import cut, table
 
 
+# Carrier phrases around a typed item, and other ways to write a form of the list (pattern, replacement).
+OPENERS = ("מקרה של", "עקב", "לרבות", "אירוע", "אובחן", "בגין", "כל", "תביעה הנובעת מ")
+CLOSERS = ("באישור רופא", "וסיבוכיו", "ראה סעיף 4", "לפי הגדרה", "כהגדרתו בפוליסה")
+REWRITES = ((" של ה", " ב"), (" של ", " ב"))
+
+
 def _mapped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every freely typed item of disease_list and exclusions with the code it means; exact names and synonyms are left out."""
     docs = table(spark, sf_dir, "document_extractions")
@@ -29,8 +35,9 @@ def _mapped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = reference.select(F.explode(F.concat(F.array("canonical_name_he"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("item"))
     typed = items.join(listed.where("item is not null").distinct(), "item", "left_anti")
     return map_to_canonical(
-        typed, "item", "category", reference, code="code", code_category="code_category", name="canonical_name_he", synonyms="synonyms", out="code"
-    )
+        typed, "item", "category", reference, code="code", code_category="code_category", name="canonical_name_he", synonyms="synonyms", out="code",
+        openers=OPENERS, closers=CLOSERS, rewrites=REWRITES,
+    )
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

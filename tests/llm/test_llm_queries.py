@@ -61,6 +61,14 @@ def test_typed_items(spark):
     assert len(got) == len(want)
 
 
+def test_shards_change_nothing(spark, monkeypatch):
+    from functools import partial
+
+    whole = sorted(map(tuple, queries.p1_found(spark, DATA).collect()))
+    monkeypatch.setattr(queries, "map_to_canonical", partial(queries.map_to_canonical, shard_forms=700))
+    assert sorted(map(tuple, queries.p1_found(spark, DATA).collect())) == whole
+
+
 def test_tokens(spark):
     import tiktoken
 
