@@ -113,9 +113,7 @@ def word_distance(a: str, b: str) -> int:
 
 def bag_distance(a: str, b: str) -> int:
     """Letters of the longer rest after what both texts have is taken away: no edit distance, transpositions included, is smaller."""
-    rest = Counter(a)
-    rest.subtract(b)
-    more = sum(n for n in rest.values() if n > 0)
+    more = sum(n for x in set(a) if (n := a.count(x) - b.count(x)) > 0)
     return max(more, more + len(b) - len(a))
 
 
@@ -308,7 +306,10 @@ class Matcher:
 
     def _misspelt(self, got: str, carrier: str) -> bool:
         """Is this the carrier with one letter wrong (two in a long one), and no word of the list?"""
-        return len(carrier) > 3 and abs(len(got) - len(carrier)) <= 1 + (len(carrier) > 7) and got not in self.known and near_carrier(got, carrier)
+        most = 1 + (len(carrier) > 7)
+        if len(carrier) <= 3 or abs(len(got) - len(carrier)) > most or len(set(got).difference(carrier)) > most:  # an edit brings one new letter at most
+            return False
+        return got not in self.known and near_carrier(got, carrier)
 
     def _opener(self, words: tuple[str, ...], more: bool) -> tuple[int, str] | None:
         """(words taken by a carrier at the beginning, rest of the last of them); ``more`` tells whether further words follow."""
