@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,24 +42,37 @@ class Comparison:
 def candidate_pairs(left: DataFrame, right: DataFrame, passes: Sequence[str], *, pairs_per_part: int = PAIRS_PER_PART) -> DataFrame:
     """``lid, rid``: distinct pairs that share a key of a pass. A pass is an array<string> column of both sides.
 
-    The rows of a busy key are dealt to parts: each left row to one, each right row to all of its key's parts, so that
-    no task has more than about ``pairs_per_part`` pairs of one key; none is left out.
+    Only keys of both sides are kept. The rows of a busy key are dealt to a grid of parts, left rows along one
+    side and right rows along the other, so that no task has more than about ``pairs_per_part`` pairs of one key nor all
+    rows of either side; none is left out.
     """
 
     def hashed(n: int, p: str) -> Column:
         return F.transform(p, lambda x: F.xxhash64(F.lit(n), x))  # a second parameter would be the place in the array
 
     def keys(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, F.explode(F.concat(*[hashed(n, p) for n, p in enumerate(passes)])).alias("k")).distinct()
+        each = [F.coalesce(hashed(n, p), F.array().cast("array<bigint>")) for n, p in enumerate(passes)]
+        return df.select(key, F.explode(F.array_distinct(F.concat(*each))).alias("k"))
 
-    lk, rk = cut(keys(left, "lid")), cut(keys(right, "rid"))
+    lk = cut(keys(left, "lid"))
+    rk = cut(keys(right, "rid").join(lk.select("k").distinct(), "k", "left_semi"))
     busy = lk.groupBy("k").agg(F.count(F.lit(1)).alias("nl")).join(rk.groupBy("k").agg(F.count(F.lit(1)).alias("nr")), "k")
-    parts = cut(busy.where(F.col("nl") * F.col("nr") > pairs_per_part).select("k", F.ceil(F.col("nl") * F.col("nr") / pairs_per_part).cast("bigint").alias("parts")))
-    if parts.isEmpty():
-        return lk.join(rk, "k").select("lid", "rid").distinct()
-    lp = lk.join(parts, "k", "left").withColumn("part", F.pmod(F.xxhash64("lid"), F.coalesce("parts", F.lit(1))))
-    rp = rk.join(parts, "k", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1)))
-    return lp.select("k", "part", "lid").join(rp.select("k", "part", "rid"), ["k", "part"]).select("lid", "rid").distinct()
+    # As near to a square as the sides allow.
+    side = F.least(F.col("nr"), F.greatest(F.lit(1.0), F.sqrt(F.lit(float(pairs_per_part))), pairs_per_part / F.col("nl")))
+    grid = busy.where(F.col("nl") * F.col("nr") > pairs_per_part).select("k", F.ceil(F.col("nr") / side).cast("bigint").alias("down"), F.ceil(F.col("nl") * side / pairs_per_part).cast("bigint").alias("across"))
+    grid = cut(grid)
+    if grid.isEmpty():
+        pairs = lk.join(rk, "k").select("lid", "rid")
+    else:
+        one = F.lit(1).cast("bigint")
+        every = lambda n: F.explode(F.sequence(one, F.coalesce(n, one)))
+        dealt = lambda key, n: F.pmod(F.xxhash64(key), F.coalesce(n, one)) + 1
+        lp = lk.join(grid, "k", "left").select("k", "lid", dealt("lid", "across").alias("i"), every("down").alias("j"))
+        rp = rk.join(grid, "k", "left").select("k", "rid", every("across").alias("i"), dealt("rid", "down").alias("j"))
+        pairs = lp.join(rp, ["k", "i", "j"]).select("lid", "rid")
+    out = pairs.distinct()
+    out._tavla_read = (lk, rk, grid)
+    return out
 
 
 class Model:
@@ -117,23 +131,31 @@ def link_records(
     the smaller ``rid``. Left records without candidates and empty tables give no rows; nulls must have a level in the comparisons.
     """
     spark = left.sparkSession
-    left, right = cut(left), cut(right)
-    pairs = candidate_pairs(left, right, passes)
-    pattern = F.lit(0).cast("bigint")
     size = 1
     for c in comparisons:
-        pattern, size = pattern * len(c.match) + c.level.cast("bigint"), size * len(c.match)
-    scored = cut(pairs.join(left.alias("l"), "lid").join(right.alias("r"), "rid").select("lid", "rid", pattern.alias("pattern")))
-    counted = scored.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    table = counted.limit(MOST_PATTERNS + 1).toPandas()
-    if len(table) > MOST_PATTERNS:
-        raise ValueError(f"the comparisons make more than {MOST_PATTERNS} patterns; use fewer levels")
-    patterns, counts = table["pattern"].to_numpy(np.int64), table["n"].to_numpy(np.float64)
+        size *= len(c.match)
+    if size > MOST_PATTERNS:
+        raise ValueError(f"the comparisons make {size} patterns, more than {MOST_PATTERNS}; use fewer levels")
+    held = [c for c in left.columns if c not in passes]
+    # Short numbers stand for the records until a match is known.
+    left = cut(left.withColumn("__l", F.monotonically_increasing_id()))
+    right = cut(right.withColumn("__r", F.monotonically_increasing_id()))
+    pairs = candidate_pairs(left.select(F.col("__l").alias("lid"), *passes), right.select(F.col("__r").alias("rid"), *passes), passes)
+    pattern = F.lit(0).cast("bigint")
+    for c in comparisons:
+        pattern = pattern * len(c.match) + c.level.cast("bigint")
+    sides = left.select("__l", *held).alias("l"), right.select("__r", *[c for c in right.columns if c not in passes and c != "__r"]).alias("r")
+    compared = pairs.withColumnsRenamed({"lid": "__l", "rid": "__r"}).join(sides[0], "__l").join(sides[1], "__r")
+    scored = cut(compared.select(F.col("l.lid").alias("lid"), F.col("r.rid").alias("rid"), pattern.alias("pattern")))
+    records = left.count()
+    for read in (*pairs._tavla_read, left, right):
+        discard(read)
+    counted = scored.groupBy("lid", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    profiles = cut(counted.groupBy("lid").agg(F.collect_list("pattern").alias("p"), F.collect_list("n").alias("n")))
+    table = profiles.select(F.explode(F.arrays_zip("p", "n")).alias("x")).groupBy("x.p").agg(F.sum("x.n").alias("n")).toPandas()
+    patterns, counts = table["p"].to_numpy(np.int64), table["n"].to_numpy(np.float64)
     order = np.argsort(patterns)
     patterns, counts = patterns[order], counts[order]
-    per_record = scored.groupBy("lid", "pattern").agg(F.count(F.lit(1)).alias("n"))
-    profiles = cut(per_record.groupBy("lid").agg(F.collect_list("pattern").alias("p"), F.collect_list("n").alias("n")))
-    records = left.count()
     model = Model(comparisons, share)
     for _ in range(rounds if len(patterns) else 0):
         sent = spark.sparkContext.broadcast((patterns, model.ratios(patterns), model.share))
@@ -141,31 +163,36 @@ def link_records(
         def expect(batches, sent=sent):
             patterns, ratios, share = sent.value
             total = np.zeros(len(patterns))
-            for pdf in batches:
-                for p, n in zip(pdf["p"], pdf["n"], strict=True):
-                    at = np.searchsorted(patterns, np.asarray(p))
-                    n = np.asarray(n, float)
-                    weight = n * ratios[at] * (share / n.sum())
-                    total[at] += weight / (weight.sum() + 1 - share)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                lists = batch.column(0)
+                at = np.searchsorted(patterns, lists.flatten().to_numpy())
+                n = batch.column(1).flatten().to_numpy().astype(float)
+                starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+                size = np.diff(lists.offsets.to_numpy())
+                weight = n * ratios[at] * np.repeat(share / np.add.reduceat(n, starts), size)
+                total += np.bincount(at, weight / np.repeat(np.add.reduceat(weight, starts) + 1 - share, size), len(patterns))
             seen = np.flatnonzero(total)
-            yield pd.DataFrame({"pattern": patterns[seen], "matched": total[seen]})
+            yield pa.RecordBatch.from_arrays([pa.array(patterns[seen]), pa.array(total[seen])], names=["pattern", "matched"])
 
-        got = profiles.select("p", "n").mapInPandas(expect, "pattern bigint, matched double").groupBy("pattern").agg(F.sum("matched").alias("matched")).toPandas()
+        got = profiles.select("p", "n").mapInArrow(expect, "pattern bigint, matched double").groupBy("pattern").agg(F.sum("matched").alias("matched")).toPandas()
         sent.destroy()
         matched = np.zeros(len(patterns))
         matched[np.searchsorted(patterns, got["pattern"].to_numpy(np.int64))] = got["matched"].to_numpy()
         if model.update(patterns, matched, counts, records) < tolerance:
             break
+    discard(profiles)
     weights = spark.createDataFrame(pd.DataFrame({"pattern": patterns, "ratio": model.ratios(patterns)}), "pattern bigint, ratio double")
-    weighed = scored.join(F.broadcast(weights), "pattern")
-    best = weighed.groupBy("lid").agg(
-        F.sum("ratio").alias("sum"), F.count(F.lit(1)).alias("n"), F.max(F.struct(F.col("ratio").alias("x"))).alias("best")
-    )
-    top = weighed.join(best.select("lid", F.col("best.x").alias("x"), "sum", "n"), "lid").where("ratio = x").groupBy("lid").agg(
-        F.min("rid").alias("rid"), F.first("ratio").alias("ratio"), F.first("sum").alias("sum"), F.first("n").alias("n")
+    top = scored.join(F.broadcast(weights), "pattern").groupBy("lid").agg(
+        F.sum("ratio").alias("sum"), F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("ratio")).alias("x"), "rid")).alias("best")
     )
     prior = F.lit(model.share) / F.col("n")
     none = F.lit(1 - model.share)
-    return top.select(
-        "lid", "rid", (F.col("ratio") * prior / (F.col("sum") * prior + none)).alias("confidence"), (F.col("sum") * prior / (F.col("sum") * prior + none)).alias("any_match")
-    ).where(F.col("any_match") >= least)
+    links = cut(
+        top.select(
+            "lid", "best.rid", (-F.col("best.x") * prior / (F.col("sum") * prior + none)).alias("confidence"), (F.col("sum") * prior / (F.col("sum") * prior + none)).alias("any_match")
+        ).where(F.col("any_match") >= least)
+    )
+    discard(scored)
+    return links

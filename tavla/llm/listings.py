@@ -9,12 +9,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tavla.llm.bpe import spread
 from tavla.llm.canonical import BKTree, damerau
 from tavla.llm.linkage import Comparison
+from tavla.session import cut, discard
 
 # Latin letters by which Hebrew names are spelt, and words of one meaning, in those letters.
 LETTERS = dict(
@@ -49,30 +51,44 @@ FILLERS = frozenset("adkon pdf chdshh hpolish tnai mla nosch naot giloi mhdorh k
 COMPANY_FILLERS = frozenset("bitoch lbitoch chbrh bam isral kbotzt pnsih obitoch insurance ltd".split())
 ALIASES = {w: k for group in (TIERS, AUDIENCES) for k, ws in group.items() for w in ws}
 
-_QUOTES = re.compile(r"['\"`׳״]")
+_MARKS = regex.compile(r"[\p{Mn}\p{Cf}]+")
 _WORD = re.compile(r"[^\W_]+")
+_SPELLING = str.maketrans({**LETTERS, **dict.fromkeys("'\"`׳״")})
 
 
 def spelt(text: str | None) -> list[str]:
     """The words of a text in Latin letters, regardless of case, quotes and invisible marks."""
     if not text:
         return []
-    text = unicodedata.normalize("NFKC", text)
-    text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf"))
-    return ["".join(LETTERS.get(c, c) for c in w) for w in _WORD.findall(_QUOTES.sub("", text.lower()))]
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFKC", text))
+    return _WORD.findall(text.lower().translate(_SPELLING))
 
 
-def common_words(docs: DataFrame, column: str, least: int) -> list[str]:
-    """Words of at least ``least`` texts. With ``least`` a share of the texts their number is bounded by words a text / share."""
+#: The share of the texts that have a common word, and the fewest texts that make one. Words a text / share bounds their number.
+COMMON_SHARE = 1 / 1_000
+FEWEST_TEXTS = 5
+
+
+def common_words(docs: DataFrame, column: str, share: float = COMMON_SHARE, fewest: int = FEWEST_TEXTS) -> list[str]:
+    """Words of at least ``share`` of all texts, and of ``fewest`` texts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        texts = 0
         for pdf in batches:
-            counts = Counter(w for t in pdf[column] for w in set(spelt(t)))
-            if counts:
+            texts += len(pdf)
+            counts.update(w for t in pdf[column] for w in set(spelt(t)))
+            if len(counts) > 100_000:
                 yield pd.DataFrame({"w": list(counts), "n": list(counts.values())})
+                counts = Counter()
+        yield pd.DataFrame({"w": [*counts, None], "n": [*counts.values(), texts]})  # null: the number of texts
 
-    counted = docs.select(column).mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r["w"] for r in counted.where(F.col("n") >= least).collect()]
+    counted = cut(docs.select(column).mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
+    texts = counted.where("w is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    found = [r["w"] for r in counted.where(F.col("w").isNotNull() & (F.col("n") >= max(fewest, texts * share))).collect()]
+    discard(counted)
+    return found
 
 
 class Reader:
@@ -104,8 +120,17 @@ class Reader:
             self.seen = {}
         return out
 
+    def read_all(self, texts: Sequence[str | None]) -> list[tuple[list[str], list[str], list[str], list[str]]]:
+        """The reading of every text; words that are new are looked up together."""
+        split = [spelt(t) for t in texts]
+        self.known([w for words in split for w in words])
+        return [self.sort(words) for words in split]
+
     def read(self, text: str | None) -> tuple[list[str], list[str], list[str], list[str]]:
-        words = [ALIASES.get(w, w) for w in self.known(spelt(text))]
+        return self.read_all([text])[0]
+
+    def sort(self, words: list[str]) -> tuple[list[str], list[str], list[str], list[str]]:
+        words = [ALIASES.get(w, w) for w in self.known(words)]
         words = [w for w in words if w not in FILLERS]
         own = [w for w in words if w not in self.common and not w.isdigit() and len(w) > 3]
         return (
@@ -149,7 +174,7 @@ def shortened(name: str) -> list[str]:
     give keys, for s and h, or t and z, may also be two letters.
     """
     heads = {name[:8], signs(name)[:8]}
-    return sorted({key for h in heads for key in (h[:7], *(h[:k] + h[k + 1 :] for k in range(len(h))))})
+    return list({key for h in heads for key in (h[:7], *[h[:k] + h[k + 1 :] for k in range(len(h))])})
 
 
 DATE_FORMATS = ("%Y-%m-%d", "%Y%m%d", "%d/%m/%Y", "%d.%m.%Y", "%d.%m.%y", "%d/%m/%y")
@@ -176,47 +201,49 @@ def read_date(text: str | None) -> tuple[str | None, str | None]:
 FEATURES = (
     "company string, own array<string>, tier array<string>, audience array<string>, product array<string>, "
     "cover_own array<string>, cover_tier array<string>, cover_audience array<string>, kind string, day string, month string, "
-    "by_company array<string>, by_name array<string>, by_part array<string>, by_day array<string>, by_month array<string>"
+    "by_name array<string>, short array<string>"
 )
+_COLUMNS = [c.split()[0] for c in FEATURES.split(", ")]
 
 
-def _features(company: str | None, title: tuple, cover: tuple, kind: str | None, day: str | None, month: str | None, loose: bool) -> tuple:
-    """The features of a row; ``loose`` gives it keys of misspelt names without the company as well."""
+def _features(company: str | None, title: tuple, cover: tuple, kind: str | None, day: str | None, month: str | None) -> tuple:
     own, tier, audience, product = title
     c_own, c_tier, c_audience, c_product = cover
     names = list(dict.fromkeys([*own, *c_own]))
-    words = sorted({*product, *c_product})
-    return (
-        company, own, tier, audience, words, c_own, c_tier, c_audience, " ".join(spelt(kind)) or None, day, month,
-        [f"{company}|{s}" for n in names for s in shortened(n)] if company else [],
-        sorted({n[:7] for n in names}),
-        sorted({s for n in names for s in shortened(n)}) if loose else [],
-        [f"{company}|{day}"] if company and day else [],
-        [f"{company}|{month}|{w}" for w in words] if company and month else [],
-    )
+    short = sorted({s for n in names for s in shortened(n)})
+    return company, own, tier, audience, sorted({*product, *c_product}), c_own, c_tier, c_audience, " ".join(spelt(kind)) or None, day, month, sorted({n[:7] for n in names}), short
+
+
+def _keyed(features: DataFrame, loose: Column) -> DataFrame:
+    """Features with the keys of every pass; rows that are ``loose`` have keys of misspelt names without the company as well."""
+    company, none = F.col("company"), F.array().cast("array<string>")
+    keyed = lambda known, keys: F.when(known, keys).otherwise(none)
+    return features.select(
+        "*",
+        keyed(company.isNotNull(), F.transform("short", lambda s: F.concat(company, F.lit("|"), s))).alias("by_company"),
+        keyed(loose, F.col("short")).alias("by_part"),
+        keyed(company.isNotNull() & F.col("day").isNotNull(), F.array(F.concat_ws("|", "company", "day"))).alias("by_day"),
+        keyed(company.isNotNull() & F.col("month").isNotNull(), F.transform("product", lambda w: F.concat_ws("|", "company", "month", w))).alias("by_month"),
+    ).drop("short")
 
 
 def listing_features(listings: DataFrame, companies: list[tuple[str, str]], common: Sequence[str]) -> DataFrame:
-    """``lid`` and features of every listing."""
+    """``lid`` and features of every listing; of several rows of a listing the greatest counts."""
     sent = listings.sparkSession.sparkContext.broadcast((companies, list(common)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, words = sent.value
         company, reader = company_reader(names), Reader(words)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            reader.known([w for c in ("listed_title", "cover_title") for t in pdf[c] for w in spelt(t)])
-            # Misspelt names are sought among all companies only where the company isn't known: the pass agrees on names
-            # alone, and over all listings it would make names agree among other pairs and so count for less.
-            rows = [
-                (r.listing_id, *_features(c := company(r.company_label), reader.read(r.listed_title), reader.read(r.cover_title), r.cover_kind, *read_date(r.sold_from), loose=c is None))
-                for r in pdf.itertuples(index=False)
-            ]
-            yield pd.DataFrame(rows, columns=["lid", *(c.split()[0] for c in FEATURES.split(", "))])
+            titles, covers = reader.read_all(pdf["listed_title"]), reader.read_all(pdf["cover_title"])
+            rest = zip(pdf["listing_id"], pdf["company_label"], titles, covers, pdf["cover_kind"], pdf["sold_from"], strict=True)
+            yield pd.DataFrame([(i, *_features(company(label), t, c, kind, *read_date(sold))) for i, label, t, c, kind, sold in rest], columns=["lid", *_COLUMNS])
 
-    columns = ["listing_id", "company_label", "listed_title", "cover_kind", "cover_title", "sold_from"]
-    return spread(listings.where("listing_id is not null").select(columns)).mapInPandas(run, "lid bigint, " + FEATURES).dropDuplicates(["lid"])
+    columns = ["company_label", "listed_title", "cover_kind", "cover_title", "sold_from"]
+    once = listings.where("listing_id is not null").groupBy("listing_id").agg(F.max(F.struct(*columns)).alias("r")).select("listing_id", "r.*")
+    # Misspelt names are sought among all companies only where the company isn't known: the pass agrees on names
+    # alone, and over all listings it would make names agree among other pairs and so count for less.
+    return _keyed(spread(once).mapInPandas(run, "lid bigint, " + FEATURES), F.col("company").isNull())
 
 
 def document_features(docs: DataFrame, common: Sequence[str]) -> DataFrame:
@@ -226,16 +253,12 @@ def document_features(docs: DataFrame, common: Sequence[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(sent.value)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            reader.known([w for c in ("appendix_name", "coverage_name") for t in pdf[c] for w in spelt(t)])
-            rows = [
-                (r.id, *_features(r.company_id, reader.read(r.appendix_name), reader.read(r.coverage_name), r.coverage_type, r.start, r.start[:7] if r.start else None, loose=True))
-                for r in pdf.itertuples(index=False)
-            ]
-            yield pd.DataFrame(rows, columns=["rid", *(c.split()[0] for c in FEATURES.split(", "))])
-
-    return docs.select("id", "company_id", "appendix_name", F.col("start").cast("string"), "coverage_name", "coverage_type").mapInPandas(run, "rid string, " + FEATURES)
+            titles, covers = reader.read_all(pdf["appendix_name"]), reader.read_all(pdf["coverage_name"])
+            rest = zip(pdf["id"], pdf["company_id"], titles, covers, pdf["coverage_type"], pdf["start"], strict=True)
+            yield pd.DataFrame([(i, *_features(c, t, v, kind, day, day[:7] if day else None)) for i, c, t, v, kind, day in rest], columns=["rid", *_COLUMNS])
+
+    rows = docs.select("id", "company_id", "appendix_name", F.col("start").cast("string"), "coverage_name", "coverage_type")
+    return _keyed(rows.mapInPandas(run, "rid string, " + FEATURES), F.lit(True))
 
 
 #: Days by which two dates of one product may differ.

@@ -14,7 +14,7 @@ from tavla.llm.listings import PASSES, common_words, document_features, listing_
 from tavla.llm.neighbours import most_similar
 from tavla.llm.setjoin import similar_links, similar_pairs
 from tavla.llm.splitting import split_oversized
-from tavla.session import cut, table
+from tavla.session import cut, discard, table
 
 
 # Carrier phrases around a typed item, and other ways to write a form of the list (pattern, replacement).
@@ -129,14 +129,13 @@ def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "r.company_id", "r.appendix_name", "r.start", "e.coverage_name", "e.coverage_type"
     )
     docs = cut(docs.where("id is not null"))
-    # Words of a thousandth of the names, eight a name: some thousands at most.
-    least = max(5, docs.count() // 1000)
-    common = common_words(docs, "appendix_name", least)
+    common = common_words(docs, "appendix_name")
     companies = table(spark, sf_dir, "companies")
     if companies.count() > 100_000:
         raise ValueError("the list of companies is too long to be broadcast")
     named = [(r["id"], r["display_name"]) for r in companies.collect()]
     links = link_records(listing_features(table(spark, sf_dir, "market_listings"), named, common), document_features(docs, common), PASSES, listing_comparisons())
+    discard(docs)
     return links.select(F.col("lid").alias("listing_id"), F.col("rid").alias("document_id"), "confidence", "any_match")
 
 
