@@ -1,10 +1,10 @@
 """The k most similar vectors of every vector, by vantage-point trees.
 
-A router, itself a vantage-point tree fitted on a bounded sample, sends every vector to one shard.
-Each shard has its own tree. A vector is first searched in its home shard, which bounds how far its k-th
+A router sends every vector to the shard of its nearest centre; the centres are fitted on a bounded sample so that vectors lying close
+together seldom part. Each shard has its own vantage-point tree. A vector is first searched in its home shard, which bounds how far its k-th
 neighbour can be; then it visits just those shards that the triangle inequality can't exclude. Distances
-are Euclidean between unit vectors, a metric in which the nearest has the highest cosine. ``factor`` relaxes the pruning: one
-excludes nothing that could matter (exact search), less than one excludes more.
+are Euclidean between unit vectors, a metric in which the nearest has the highest cosine. ``factor`` relaxes the pruning,
+of trees and of shards: one excludes nothing that could matter (exact search), less than one excludes more.
 """
 
 from __future__ import annotations
@@ -20,13 +20,12 @@ from pyspark.sql import types as T
 from tavla.llm.bpe import spread
 from tavla.session import cut
 
-#: Vectors on which the router is fitted, those with the smallest hashes of their keys.
-SAMPLE_ROWS = 16_384
-#: Vectors a shard holds on average (at 64 dimensions 16 MB in a worker). Few large shards mean few visits to others, and
-#: inside a shard pruning costs no shuffle.
-SHARD_ROWS = 32_000
-#: A shard of more than this many times the average is cut in blocks of SHARD_ROWS, each with a tree of its own.
-HEAVY_SHARD = 2
+#: Vectors on which the router is fitted, those with the smallest hashes of their keys; a centre for every 32 of them at most.
+SAMPLE_ROWS = 32_768
+#: Vectors a shard holds on average, as long as there are centres enough; beyond that shards grow with the vectors.
+SHARD_ROWS = 8_000
+#: Vectors that one task may index (at 64 dimensions 64 MB in a worker). A larger shard is cut in blocks, each with a tree of its own.
+BLOCK_ROWS = 128_000
 #: Visits that one task answers at a time.
 VISITS_PER_TASK = 50_000
 #: Classes of exact copies whose hashes (8 bytes each) may be broadcast.
@@ -83,39 +82,38 @@ def build(x: np.ndarray, leaf_rows: int, rng: np.random.Generator) -> tuple[Node
     return grow(np.arange(len(x))), leaves
 
 
-def home(node: Node, q: np.ndarray) -> np.ndarray:
-    """The leaf of every vector."""
-    out = np.zeros(len(q), np.int32)
+class Router:
+    """Centres of the shards. A vector's home is the shard of its nearest centre."""
 
-    def walk(node: Node, at: np.ndarray) -> None:
-        if node.rows is not None or not len(at):
-            out[at] = node.leaf
-            return
-        inside = far(q[at], node.point) < node.median
-        walk(node.inner, at[inside])
-        walk(node.outer, at[~inside])
+    def __init__(self, sample: np.ndarray, shards: int, rng: np.random.Generator, rounds: int = 5):
+        """Centres start at random members of the sample and move to the mean direction of what is nearest to them."""
+        self.centres = sample[rng.choice(len(sample), shards, replace=False)] if len(sample) else np.zeros((1, sample.shape[1]))
+        for _ in range(rounds if len(sample) else 0):
+            total = np.zeros_like(self.centres)
+            np.add.at(total, self.home(sample), sample)
+            length = np.linalg.norm(total, axis=1, keepdims=True)
+            self.centres = np.where(length > 0, total / np.where(length > 0, length, 1.0), self.centres)
 
-    walk(node, np.arange(len(q)))
-    return out
+    def __len__(self) -> int:
+        return len(self.centres)
 
+    def home(self, q: np.ndarray) -> np.ndarray:
+        parts = [np.argmax(q[lo : lo + 4096] @ self.centres.T, axis=1) for lo in range(0, len(q), 4096)]
+        return np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
 
-def reachable(node: Node, q: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) of every leaf that may hold something within a row's radius."""
-    found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int32))]
+    def reachable(self, q: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, shard) of every shard that may hold something within a row's radius.
 
-    def walk(node: Node, at: np.ndarray) -> None:
-        if not len(at):
-            return
-        if node.rows is not None:
-            found.append((at, np.full(len(at), node.leaf, np.int32)))
-            return
-        gap = far(q[at], node.point) - node.median
-        walk(node.inner, at[gap < radius[at]])
-        walk(node.outer, at[gap >= -radius[at]])
-
-    walk(node, np.arange(len(q)))
-    rows, leaves = zip(*found, strict=True)
-    return np.concatenate(rows), np.concatenate(leaves)
+        What lies in a shard is no farther from its centre than from the row's nearest centre, so by the triangle inequality it lies
+        at least half the difference of the row's distances to the two away.
+        """
+        rows, shards = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for lo in range(0, len(q), 4096):
+            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (q[lo : lo + 4096] @ self.centres.T)))
+            near, shard = np.nonzero((d - d.min(axis=1, keepdims=True)) / 2 < radius[lo : lo + 4096, None])
+            rows.append(near + lo)
+            shards.append(shard.astype(np.int32))
+        return np.concatenate(rows), np.concatenate(shards)
 
 
 class Search:
@@ -188,35 +186,28 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & fine).select(F.col(key).alias("key"), v.alias("v"))
 
 
-def _search_distinct(vectors: DataFrame, k: int, dim: int, factor: float, shard_rows: int, sample_rows: int, seed: int) -> DataFrame:
+def _search_distinct(vectors: DataFrame, k: int, dim: int, factor: float, shard_rows: int, sample_rows: int, block_rows: int, seed: int) -> DataFrame:
     """``key, other, cosine``: the k nearest others of every key, none of whose vectors are equal."""
     spark = vectors.sparkSession
     count = vectors.count()
     sample = vectors.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(sample_rows).select("v").toArrow()
-    wanted = max(1, min(-(-count // shard_rows), sample.num_rows // 32))
-    rng = np.random.default_rng(seed)
-    tree, leaves = build(_matrix(sample["v"], dim), -(-sample.num_rows // wanted), rng) if sample.num_rows else (Node(rows=np.empty(0, np.int64), leaf=0), 1)
-
-    def strip(node: Node) -> Node:
-        if node.rows is not None:
-            return Node(rows=np.empty(0, np.int64), leaf=node.leaf)
-        return Node(point=node.point, median=node.median, inner=strip(node.inner), outer=strip(node.outer))
-
-    router = spark.sparkContext.broadcast(strip(tree))  # at most sample_rows / 32 vantage points
+    shards = max(1, min(-(-count // shard_rows), sample.num_rows // 32))
+    fitted = Router(_matrix(sample["v"], dim) if sample.num_rows else np.empty((0, dim)), shards, np.random.default_rng(seed))
+    router = spark.sparkContext.broadcast(fitted)  # at most sample_rows / 32 centres
     key_type = vectors.schema["key"].dataType
     from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
     def route(batches):
         for batch in batches:
             if batch.num_rows:
-                leaf = home(router.value, _matrix(batch.column(1), dim))
+                leaf = router.value.home(_matrix(batch.column(1), dim))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf)], names=["key", "v", "leaf"])
 
     routed_schema = T.StructType([*vectors.schema.fields, T.StructField("leaf", T.IntegerType())])
     routed = cut(spread(vectors).mapInArrow(route, routed_schema))
-    # One row a leaf, at most sample_rows / 32 of them.
+    # One row a shard, at most sample_rows / 32 of them.
     sizes = {r["leaf"]: r["n"] for r in routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = np.array([-(-n // shard_rows) if (n := sizes.get(i, 0)) > HEAVY_SHARD * shard_rows else 1 for i in range(leaves)], np.int64)
+    blocks = np.array([max(1, -(-sizes.get(i, 0) // block_rows)) for i in range(len(fitted))], np.int64)
     first = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
     of_leaf = F.array(*[F.lit(int(b)) for b in first]) if blocks.max(initial=1) > 1 else None
     if of_leaf is None:
@@ -241,7 +232,8 @@ def _search_distinct(vectors: DataFrame, k: int, dim: int, factor: float, shard_
         found = pa.Table.from_arrays([q, other, pa.array(cosine), pa.nulls(len(q), arrow.field("v").type), pa.nulls(len(q), pa.int32())], schema=arrow)
         worst = s.score[:, -1]
         radius = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * worst))
-        rows, leaf = reachable(router.value, x, np.where(radius > SAME, factor * radius, -1.0))
+        radius = np.where(worst > -2.0, np.where(radius > SAME, factor * radius + SAME, -1.0), np.inf)  # fewer than k at home: any shard may help
+        rows, leaf = router.value.reachable(x, radius)
         blocks, first = spec.value
         cell = np.concatenate([first[leaf] + b for b in range(int(blocks.max(initial=1)))]) if len(leaf) else np.empty(0, np.int64)
         rows, leaf = np.tile(rows, int(blocks.max(initial=1))), np.tile(leaf, int(blocks.max(initial=1)))
@@ -291,6 +283,7 @@ def most_similar(
     factor: float = 0.25,
     shard_rows: int = SHARD_ROWS,
     sample_rows: int = SAMPLE_ROWS,
+    block_rows: int = BLOCK_ROWS,
     seed: int = 7,
 ) -> DataFrame:
     """``key, other, cosine``: for every vector its k most similar others by cosine.
@@ -307,7 +300,7 @@ def most_similar(
     shared = cut(vectors.select(h.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     n_shared = shared.count()
     if not n_shared:
-        return _search_distinct(vectors, k, dim, factor, shard_rows, sample_rows, seed)
+        return _search_distinct(vectors, k, dim, factor, shard_rows, sample_rows, block_rows, seed)
     mark = F.broadcast(shared) if n_shared <= BROADCAST_COPIES else shared
     tagged = vectors.withColumn("h", h)
     single = tagged.join(mark, "h", "left_anti").select("key", "v")
@@ -317,7 +310,7 @@ def most_similar(
     # The limit of the window is applied before its shuffle, so a large class sends k + 1 rows a task.
     firsts = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("key"))).where(F.col("r") <= k + 1).select("rep", F.col("key").alias("cand"))
     distinct = cut(single.unionByName(reps.select(F.col("rep").alias("key"), "v")))
-    found = cut(_search_distinct(distinct, k, dim, factor, shard_rows, sample_rows, seed))
+    found = cut(_search_distinct(distinct, k, dim, factor, shard_rows, sample_rows, block_rows, seed))
     own = firsts.select(F.col("rep").alias("key"), F.col("rep").alias("other"), F.lit(1.0).alias("cosine")).distinct()
     wide = (
         found.unionByName(own)

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tavla.llm.neighbours import build, home, most_similar, reachable, unit
+from tavla.llm.neighbours import Router, Search, build, most_similar, unit
 
 
 def frame(spark, items):
@@ -36,10 +36,10 @@ def clusters(n, dim, seed, spread=0.15):
     return [(f"v{i:04}", (centres[i % len(centres)] + spread * rng.normal(size=dim)) * rng.uniform(0.5, 3)) for i in range(n)]
 
 
-@pytest.mark.parametrize(("shard", "sample"), [(4_000, 16_384), (60, 640)])
-def test_factor_one_is_exact(spark, shard, sample):
+@pytest.mark.parametrize(("shard", "sample", "block"), [(4_000, 16_384, 9_999), (60, 640, 9_999), (12, 640, 25)])
+def test_factor_one_is_exact(spark, shard, sample, block):
     items = clusters(600, 8, 1)
-    got = found(most_similar(frame(spark, items), "id", "vec", k=5, dim=8, factor=1.0, shard_rows=shard, sample_rows=sample))
+    got = found(most_similar(frame(spark, items), "id", "vec", k=5, dim=8, factor=1.0, shard_rows=shard, sample_rows=sample, block_rows=block))
     assert {k: set(v) for k, v in got.items()} == {k: set(v) for k, v in brute(items, 5, 8).items()}
 
 
@@ -70,13 +70,33 @@ def test_copies(spark):
     assert len(got) == 202
 
 
-def test_tree():
+def test_router():
     rng = np.random.default_rng(3)
     x = unit(rng.normal(size=(500, 6)))
-    tree, leaves = build(x, 20, rng)
-    at = home(tree, x)
-    assert set(at) == set(range(leaves))
-    rows, leaf = reachable(tree, x, np.full(len(x), 0.4))
-    pairs = set(zip(rows.tolist(), leaf.tolist(), strict=True))
+    router = Router(x[:300], 20, rng)
+    at = router.home(x)
+    assert len(router) == 20
+    rows, shard = router.reachable(x, np.full(len(x), 0.4))
+    pairs = set(zip(rows.tolist(), shard.tolist(), strict=True))
     d = np.sqrt(np.maximum(0, 2 - 2 * x @ x.T))
     assert all((i, at[j]) in pairs for i in range(500) for j in np.flatnonzero(d[i] < 0.399))
+    assert len(router.reachable(x, np.full(len(x), -1.0))[0]) == 0
+
+
+def test_tree():
+    rng = np.random.default_rng(3)
+    x = unit(rng.normal(size=(500, 6)))
+    tree, leaves = build(x, 20, rng)
+    assert leaves >= 500 / 20
+    s = Search(x, tree, x, 4, 1.0, own=np.arange(len(x))).run()
+    cos = x @ x.T
+    np.fill_diagonal(cos, -2)
+    assert np.allclose(s.score, -np.sort(-cos, axis=1)[:, :4])
+
+
+def test_homes_of_few(spark):
+    """A vector alone in its shard still gets its k neighbours."""
+    items = [(f"a{i}", [1, 0.01 * i, 0]) for i in range(40)] + [("z", [0, 0, 1])]
+    got = found(most_similar(frame(spark, items), "id", "vec", k=3, dim=3, shard_rows=20, sample_rows=64))
+    assert all(len(v) == 3 for v in got.values())
+    assert len(got) == 41
