@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tavla.llm.bpe import spread
-from tavla.session import cut
+from tavla.session import cut, discard
 
 #: Vectors on which the router is fitted, those with the smallest hashes of their keys; a centre for every 32 of them at most.
 SAMPLE_ROWS = 32_768
@@ -186,8 +186,8 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & fine).select(F.col(key).alias("key"), v.alias("v"))
 
 
-def _search_distinct(vectors: DataFrame, k: int, dim: int, factor: float, shard_rows: int, sample_rows: int, block_rows: int, seed: int) -> DataFrame:
-    """``key, other, cosine``: the k nearest others of every key, none of whose vectors are equal."""
+def _search_distinct(vectors: DataFrame, k: int, dim: int, factor: float, shard_rows: int, sample_rows: int, block_rows: int, seed: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``key, other, cosine``: the k nearest others of every key, none of whose vectors are equal; and the tables that this reads."""
     spark = vectors.sparkSession
     count = vectors.count()
     sample = vectors.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(sample_rows).select("v").toArrow()
@@ -251,7 +251,7 @@ def _search_distinct(vectors: DataFrame, k: int, dim: int, factor: float, shard_
     # One row a cell. Busy cells are visited in several tasks, each with its own copy of the cell.
     busy = {r["cell"]: -(-r["n"] // VISITS_PER_TASK) for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not busy:
-        return near
+        return near, [routed, first_pass]
     parts = spark.createDataFrame(list(busy.items()), "cell int, parts bigint")
     visitors = visits.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("key"), "parts"))
     hosts = cells.select("key", "v", "cell").join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
@@ -270,7 +270,7 @@ def _search_distinct(vectors: DataFrame, k: int, dim: int, factor: float, shard_
 
     further = visitors.select("key", "cosine", "v", "cell", "part").groupBy("cell", "part").cogroup(hosts.select("key", "v", "cell", "part").groupBy("cell", "part")).applyInArrow(visit, near_schema)
     best = Window.partitionBy("key").orderBy(F.desc("cosine"), "other")
-    return near.unionByName(further).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    return near.unionByName(further).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"), [routed, first_pass]
 
 
 def most_similar(
@@ -300,7 +300,7 @@ def most_similar(
     shared = cut(vectors.select(h.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     n_shared = shared.count()
     if not n_shared:
-        return _search_distinct(vectors, k, dim, factor, shard_rows, sample_rows, block_rows, seed)
+        return _search_distinct(vectors, k, dim, factor, shard_rows, sample_rows, block_rows, seed)[0]
     mark = F.broadcast(shared) if n_shared <= BROADCAST_COPIES else shared
     tagged = vectors.withColumn("h", h)
     single = tagged.join(mark, "h", "left_anti").select("key", "v")
@@ -310,7 +310,10 @@ def most_similar(
     # The limit of the window is applied before its shuffle, so a large class sends k + 1 rows a task.
     firsts = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("key"))).where(F.col("r") <= k + 1).select("rep", F.col("key").alias("cand"))
     distinct = cut(single.unionByName(reps.select(F.col("rep").alias("key"), "v")))
-    found = cut(_search_distinct(distinct, k, dim, factor, shard_rows, sample_rows, block_rows, seed))
+    found, read_by_it = _search_distinct(distinct, k, dim, factor, shard_rows, sample_rows, block_rows, seed)
+    found = cut(found)
+    for read in (vectors, shared, copied, distinct, *read_by_it):
+        discard(read)
     own = firsts.select(F.col("rep").alias("key"), F.col("rep").alias("other"), F.lit(1.0).alias("cosine")).distinct()
     wide = (
         found.unionByName(own)
