@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,20 +54,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **measured: Column) -> DataFrame:
     """Write ``df`` as a table into the shared checkpoint folder and read it back: the lineage is forgotten, the
     files outlive any executor, and the planner knows the real size, where checkpoint() would keep multiplying the
     estimates of iterated joins. The files go when the session ends, or earlier by :func:`discard`.
+
+    ``measured`` are aggregates of the rows taken while they are written; :func:`seen` has their values.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tavla-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
+    observation = Observation() if measured else None
+    (df.observe(observation, *[c.alias(k) for k, c in measured.items()]) if measured else df).write.parquet(path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._tavla_path = path
+    out._tavla_seen = observation.get if observation else {}
     return out
 
 
+def seen(df: DataFrame, name: str) -> int:
+    """A count that :func:`cut` took while it wrote; of a plan that the optimizer knew to be empty it is zero."""
+    return df._tavla_seen.get(name) or 0
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a :func:`cut` table that no later plan reads."""
     path = getattr(df, "_tavla_path", None)

@@ -1,6 +1,6 @@
 import os
 
-from tavla.session import cut, discard, ensure_checkpoint_dir, ship
+from tavla.session import cut, discard, ensure_checkpoint_dir, seen, ship
 
 
 def local(path):
@@ -27,6 +27,17 @@ def test_cut_of_an_empty_frame(spark):
     assert empty.isEmpty()
 
 
+def test_cut_counts_while_writing(spark):
+    from pyspark.sql import functions as F
+
+    odd = F.count_if(F.col("id") % 2 == 1)
+    kept = cut(spark.range(7), n=F.count(F.lit(1)), odd=odd)
+    assert (seen(kept, "n"), seen(kept, "odd"), kept.count()) == (7, 3, 7)
+    empty = cut(spark.createDataFrame([], "id int").where("id > 3").groupBy("id").count(), n=F.count(F.lit(1)))
+    assert seen(empty, "n") == 0
+    assert seen(cut(spark.range(1)), "n") == 0
+
+
 def test_the_folder_is_named_once(spark):
     assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)
 
