@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tavla.session import cut, discard
+from tavla.session import cut, discard, seen
 
 
 def _hook(edges: DataFrame) -> DataFrame:
@@ -19,16 +19,25 @@ def _hook(edges: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label"))
 
 
-def _jump(parents: DataFrame) -> DataFrame:
-    """Every node's label becomes its root: label := label(label) until none changes, written to the checkpoint folder each time."""
-    table = parents
+def _step(parents: DataFrame) -> DataFrame:
+    """Every node's label becomes its label's label."""
+    moves = parents.where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("further"))  # roots move nobody
+    return parents.join(moves, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """Every node's label is the root of its tree of minimum labels: labels jump until none changes, written to the
+    checkpoint folder after every two jumps, which make labels that were one step apart four. A third jump tells, while they
+    are written, which of them have farther to go."""
+    parents, last = _hook(edges), None
     while True:
-        # Only labels that are no roots themselves can move their nodes.
-        moves = parents.where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("further"))
-        stepped = cut(parents.join(moves, "label", "left").select("node", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved")))
-        discard(table)
-        table, parents = stepped, stepped.select("node", "label")
-        if stepped.where("moved").isEmpty():
+        jumped = _step(_step(parents))
+        moves = jumped.where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("further"))
+        table = cut(jumped.join(moves, "label", "left").select("node", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved")), moved=F.count_if("moved"))
+        if last is not None:
+            discard(last)
+        parents, last = table.select("node", "label"), table
+        if not seen(table, "moved"):
             return parents
 
 
@@ -39,19 +48,21 @@ def connected_groups(links: DataFrame, a: str, b: str) -> DataFrame:
     itself are none; repeated links count once; an empty table gives an empty result; further
     columns are ignored, whatever their names. Nodes may be of any orderable type.
     """
+    count = F.count(F.lit(1))
     edges = cut(
         links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-        .distinct()
+        .distinct(),
+        n=count,
     )
     rounds: list[DataFrame] = []
-    while not edges.isEmpty():
-        parents = _jump(cut(_hook(edges)))
+    while seen(edges, "n"):
+        parents = _roots(edges)
         rounds.append(parents)
         left = parents.select(F.col("node").alias("u"), F.col("label").alias("lu"))
         right = parents.select(F.col("node").alias("v"), F.col("label").alias("lv"))
         done, edges = edges, cut(
-            edges.join(left, "u").join(right, "v").where("lu <> lv").select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct()
+            edges.join(left, "u").join(right, "v").where("lu <> lv").select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct(), n=count
         )
         discard(done)
     if not rounds:
