@@ -2,16 +2,26 @@
 
 Minimum labels are propagated across the edges and pointer jumping collapses the label trees.
 After every round the edges are rewritten to the labels of their ends, so a round works only on
-what the rounds before left open: long chains halve, a busy centre disappears in one round.
+what the rounds before left open: long chains halve, a busy centre disappears in one round. What a round leaves is finished in
+one task, by the same steps on arrays, once it is small; else the last few edges would cost as many jobs as the first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tavla.session import cut, discard, seen
 
+#: Edges left by a round that one task may finish (some megabytes), where the nodes are of a type that Python orders as Spark does.
+LAST_EDGES = 50_000
+PLAIN_TYPES = (T.StringType, T.IntegralType, T.DateType)
+
 
 def _hook(edges: DataFrame) -> DataFrame:
     """node -> smallest of itself and its neighbours. The minimum is combined map-side, so a busy node costs no more than another."""
@@ -20,25 +30,49 @@ def _hook(edges: DataFrame) -> DataFrame:
 
 
 def _step(parents: DataFrame) -> DataFrame:
-    """Every node's label becomes its label's label."""
+    """Every node's label becomes its label's label; ``moved`` tells whether that is another."""
     moves = parents.where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("further"))  # roots move nobody
-    return parents.join(moves, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+    return parents.join(moves, "label", "left").select("node", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved"))
 
 
 def _roots(edges: DataFrame) -> DataFrame:
-    """Every node's label is the root of its tree of minimum labels: labels jump until none changes, written to the
-    checkpoint folder after every two jumps, which make labels that were one step apart four. A third jump tells, while they
-    are written, which of them have farther to go."""
-    parents, last = _hook(edges), None
+    """Every node's label is the root of its tree of minimum labels: labels jump until none moves, written to the
+    checkpoint folder after every two jumps, and counted while they are written."""
+    table = cut(_hook(edges))
     while True:
-        jumped = _step(_step(parents))
-        moves = jumped.where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("further"))
-        table = cut(jumped.join(moves, "label", "left").select("node", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved")), moved=F.count_if("moved"))
-        if last is not None:
-            discard(last)
-        parents, last = table.select("node", "label"), table
+        last, table = table, cut(_step(_step(table.select("node", "label")).select("node", "label")), moved=F.count_if("moved"))
+        discard(last)
         if not seen(table, "moved"):
-            return parents
+            return table.select("node", "label")
+
+
+def _finish(edges: DataFrame) -> DataFrame:
+    """Every node with the smallest node of its component, in one task."""
+    schema = T.StructType([T.StructField("node", edges.schema["u"].dataType), T.StructField("label", edges.schema["u"].dataType)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        whole = pd.concat(parts)
+        nodes, at = np.unique(np.concatenate([whole["u"].to_numpy(), whole["v"].to_numpy()]), return_inverse=True)
+        yield pd.DataFrame({"node": nodes, "label": nodes[smallest_labels(at[: len(whole)], at[len(whole) :], len(nodes))]})
+
+    return edges.coalesce(1).mapInPandas(run, schema)
+
+
+def smallest_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number in the component of each of n nodes, from edges (a, b): minimum labels and pointer jumping."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
 
 
 def connected_groups(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -56,7 +90,11 @@ def connected_groups(links: DataFrame, a: str, b: str) -> DataFrame:
         n=count,
     )
     rounds: list[DataFrame] = []
+    plain = isinstance(edges.schema["u"].dataType, PLAIN_TYPES)
     while seen(edges, "n"):
+        if rounds and plain and seen(edges, "n") <= LAST_EDGES:
+            rounds.append(cut(_finish(edges)))
+            break
         parents = _roots(edges)
         rounds.append(parents)
         left = parents.select(F.col("node").alias("u"), F.col("label").alias("lu"))
