@@ -2,8 +2,8 @@
 
 The history of one entity is a fold over its observations in time order: a version is appended
 only when the observed state differs from the last one. A busy entity is first cut into runs of
-time that hold a bounded number of observations; each run is folded on its own, and only the
-surviving change points of an entity meet again.
+time that hold a bounded number of observations; each run is folded on its own, and of each run only its
+first and last state meet those of the runs before and after it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tavla.session import cut
+from tavla.session import cut, seen
 
 #: Observations of one entity that one fold may hold. More are split by time.
 CHUNK_ROWS = 2_000
@@ -99,29 +99,52 @@ def versions(
         ).alias("__r"),
     )
     us = F.unix_micros(F.col("__t").cast("timestamp"))
-    busy = cut(_busy_entities(rows.select("__e", us.alias("__us")), chunk_rows))
-    if busy.count() <= BROADCAST_ENTITIES:
-        busy = F.broadcast(busy)
-    marked = rows.join(busy, "__e", "left").withColumn("__at", F.when(F.col("__cuts").isNotNull(), F.size(F.filter("__cuts", lambda x: x <= us))))
-    placed = marked.select("__e", _chunk(us).alias("__c"), "__t", "__r")
+    busy = cut(_busy_entities(rows.select("__e", us.alias("__us")), chunk_rows), n=F.count(F.lit(1)))
+    # A quiet entity is one run; it is finished where it was folded.
+    last = F.lit(None).cast(df.schema[ts].dataType)
+    if not seen(busy, "n"):
+        found = _folded(rows, "__e").select("__e", _closed(F.col("__p"), last).alias("__v"))
+    else:
+        known = F.broadcast(busy) if seen(busy, "n") <= BROADCAST_ENTITIES else busy
+        quiet = _folded(rows.join(known, "__e", "left_anti"), "__e").select("__e", _closed(F.col("__p"), last).alias("__v"))
+        at = F.size(F.filter("__cuts", lambda x: x <= us))
+        placed = rows.join(known, "__e").withColumn("__at", at).select("__e", _chunk(us).alias("__c"), "__t", "__r")
+        found = quiet.unionByName(_joined_runs(cut(_folded(placed, "__e", "__c")), last))
+    out = found.select("__e", F.inline("__v").alias("s", "t", "until"))
+    return out.select(F.col("__e").alias(entity), *[F.col("s")[a].alias(a) for a in attributes], F.col("t").alias("valid_from"), F.col("until").alias("valid_to"))
+
+
+def _folded(rows: DataFrame, *run: str) -> DataFrame:
+    """``<run>, __p``: the changes of every run in time order, an array of (t, s); s is null where the entity isn't present."""
     # One shuffle serves both aggregations: rows of a run share a partition, so do those of an instant.
-    held = placed.repartition("__e", "__c").groupBy("__e", "__c", "__t").agg(F.max("__r").alias("__r"))
-    runs = (
-        held.where("__r.o")
-        .groupBy("__e", "__c")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("__t").alias("t"), F.when(F.col("__r.p"), F.col("__r.s")).alias("s")))).alias("__a"))
-    )
+    held = rows.repartition(*run).groupBy(*run, "__t").agg(F.max("__r").alias("__r"))
+    points = F.struct(F.col("__t").alias("t"), F.when(F.col("__r.p"), F.col("__r.s")).alias("s"))
+    runs = held.where("__r.o").groupBy(*run).agg(F.array_sort(F.collect_list(points)).alias("__a"))
     fold = F.aggregate(
         F.slice("__a", 2, F.greatest(F.size("__a") - 1, F.lit(0))),
         F.slice("__a", 1, 1),
         lambda acc, x: F.when(F.element_at(acc, -1)["s"].eqNullSafe(x["s"]), acc).otherwise(F.concat(acc, F.array(x))),
     )
-    points = runs.select("__e", F.inline(fold)).toDF("__e", "t", "s")
-    w = Window.partitionBy("__e").orderBy("t")
-    first = F.row_number().over(w) == 1
-    changed = (
-        points.select("__e", "t", "s", (first | ~F.lag("s").over(w).eqNullSafe(F.col("s"))).alias("__new"))
-        .where("__new")
-        .select("__e", "s", F.col("t").alias("valid_from"), F.lead("t").over(w).alias("valid_to"))
-    )
-    return changed.where(F.col("s").isNotNull()).select(F.col("__e").alias(entity), *[F.col("s")[a].alias(a) for a in attributes], "valid_from", "valid_to")
+    return runs.select(*run, fold.alias("__p"))
+
+
+def _closed(points: Column, end: Column) -> Column:
+    """The versions (s, t, until) of a run's changes; the last one lasts until ``end``. Changes to absence only close."""
+    each = F.transform(points, lambda p, i: F.struct(p["s"].alias("s"), p["t"].alias("t"), F.coalesce(F.get(points, i + 1)["t"], end).alias("until")))
+    return F.filter(each, lambda v: v["s"].isNotNull())
+
+
+def _joined_runs(runs: DataFrame, never: Column) -> DataFrame:
+    """``__e, __v``: the versions of busy entities from their runs ``__e, __c, __p``.
+
+    A run's first change is none if the run before ended in the same state, and its last version ends with the first change
+    after it. A window over a row per run, with its two states, tells both; the changes stay where they are.
+    """
+    edges = runs.select("__e", "__c", F.col("__p")[0].alias("first"), F.get("__p", F.lit(1))["t"].alias("second"), F.element_at("__p", -1)["s"].alias("last"))
+    w = Window.partitionBy("__e").orderBy("__c")
+    fresh = (F.row_number().over(w) == 1) | ~F.lag("last").over(w).eqNullSafe(F.col("first.s"))
+    starts = edges.select("__e", "__c", fresh.alias("fresh"), F.when(fresh, F.col("first.t")).otherwise(F.col("second")).alias("start"))
+    back = Window.partitionBy("__e").orderBy(F.desc("__c")).rowsBetween(Window.unboundedPreceding, -1)
+    after = starts.select("__e", "__c", "fresh", F.last("start", ignorenulls=True).over(back).alias("end"))
+    kept = runs.join(after, ["__e", "__c"]).withColumn("__p", F.when(F.col("fresh"), F.col("__p")).otherwise(F.slice("__p", F.lit(2), F.size("__p"))))
+    return kept.select("__e", _closed(F.col("__p"), F.coalesce("end", never)).alias("__v"))
