@@ -1,7 +1,9 @@
 """Matching entities across companies by vector similarity, gated by lexical evidence.
 
-Exact search: every pair of blocks of a domain is one task that multiplies two small matrices; each task keeps only the best
-few per (source, other company), so what is shuffled afterwards grows with the sources, not with the pairs.
+Exact search by matrix products: the vectors of a domain are cut in blocks, every unordered pair of blocks is one task, and a task
+serves both directions. A score of 0.75 lies too far out for the triangle inequality to leave blocks out (among 64 dimensions
+nearly every block reaches into that radius), so the products are quadratic in a domain; what is shuffled for them is a row per vector and
+block, and each task keeps only the best few per (source, other company).
 """
 
 from __future__ import annotations
@@ -10,109 +12,136 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tavla.functions.text import pair_key
 
-#: Vectors of one side of a task (at 64 dimensions half a megabyte).
-BLOCK_ROWS = 1_024
+#: Vectors of one side of a task (at 64 dimensions two megabytes), and of a strip of them that is multiplied at a time.
+BLOCK_ROWS, STRIP_ROWS = 4_096, 1_024
 
 _PAIRS = T.StructType(
     [T.StructField("source", T.StringType()), T.StructField("company", T.StringType()), T.StructField("candidate", T.StringType()), T.StructField("score", T.DoubleType())]
 )
 
+_PAIRS_ARROW = pa.schema([("source", pa.string()), ("company", pa.string()), ("candidate", pa.string()), ("score", pa.float64())])
 
-def overlap_matrix(a: Sequence[Sequence[str]], b: Sequence[Sequence[str]]) -> np.ndarray:
-    """The rule of functions.text.lexical_overlap for all pairs of two lists of bags.
 
-    Each word of a bag stands for all words of the other side that it is related to, which are found by its own beginnings
+class Bags:
+    """Bags of words that are asked for overlaps, by the rule of functions.text.lexical_overlap.
+
+    Each word of an asking bag stands for all words here that it is related to, which are found by its own beginnings
     and ends and by those of the others; the rest is one product of incidence matrices.
     """
-    number = {w: n for n, w in enumerate(sorted({w for bag in b for w in bag}))}
-    parts: dict[str, set[int]] = {}
-    for w, n in number.items():
-        for part in {w[:k] for k in range(3, len(w))} | {w[k:] for k in range(1, len(w) - 2)}:
-            parts.setdefault(part, set()).add(n)
-
-    def related(w: str) -> set[int]:
-        found = set(parts.get(w, ())) if len(w) >= 3 else set()
-        for part in {w} | {w[:k] for k in range(3, len(w))} | {w[k:] for k in range(1, len(w) - 2)}:
-            if part in number:
-                found.add(number[part])
-        return found
-
-    known = {w: list(related(w)) for w in {w for bag in a for w in bag}}
-    x, y = np.zeros((len(a), len(number)), np.float32), np.zeros((len(b), len(number)), np.float32)
-    for i, bag in enumerate(a):
-        for w in bag:
-            x[i, known[w]] = 1
-    for i, bag in enumerate(b):
-        y[i, [number[w] for w in bag]] = 1
-    return x @ y.T > 0
-
-
-def gate(words_a: list, words_b: list, scope_a: list, scope_b: list) -> np.ndarray:
-    """Which pairs does lexical evidence allow? ``words`` is None for an entity without any name; ``scope`` None for a general product."""
-    plain = lambda bags: [x or () for x in bags]
-    none = lambda bags: np.array([x is None for x in bags], bool)
-    general_a, general_b = none(scope_a)[:, None], none(scope_b)[None, :]
-    scoped = (general_a == general_b) & (general_a | overlap_matrix(plain(scope_a), plain(scope_b)))
-    unnamed = none(words_a)[:, None] | none(words_b)[None, :]
-    return scoped & (unnamed | overlap_matrix(plain(words_a), plain(words_b)))
+
+    def __init__(self, bags: Sequence[Sequence[str] | None]):
+        self.none = np.array([x is None for x in bags], bool)
+        self.number = {w: n for n, w in enumerate(sorted({w for bag in bags for w in bag or ()}))}
+        self.parts: dict[str, set[int]] = {}
+        for w, n in self.number.items():
+            for part in self._ends(w):
+                self.parts.setdefault(part, set()).add(n)
+        self.known: dict[str, list[int]] = {}
+        self.held = np.zeros((len(bags), len(self.number)), np.float32)
+        for i, bag in enumerate(bags):
+            self.held[i, [self.number[w] for w in bag or ()]] = 1
+
+    @staticmethod
+    def _ends(w: str) -> set[str]:
+        return {w[:k] for k in range(3, len(w))} | {w[k:] for k in range(1, len(w) - 2)}
+
+    def related(self, w: str) -> list[int]:
+        if w not in self.known:
+            found = set(self.parts.get(w, ())) if len(w) >= 3 else set()
+            self.known[w] = list(found | {self.number[p] for p in {w} | self._ends(w) if p in self.number})
+        return self.known[w]
+
+    def overlaps(self, bags: Sequence[Sequence[str] | None]) -> np.ndarray:
+        asked = np.zeros((len(bags), len(self.number)), np.float32)
+        for i, bag in enumerate(bags):
+            for w in bag or ():
+                asked[i, self.related(w)] = 1
+        return asked @ self.held.T > 0
+
+
+def gate(words: Sequence, scopes: Sequence, there_words: Bags, there_scopes: Bags) -> np.ndarray:
+    """Which pairs does lexical evidence allow? Words are None for an entity without any name; a scope is None for a general product."""
+    none = lambda bags: np.array([x is None for x in bags], bool)[:, None]
+    general, general_there = none(scopes), there_scopes.none[None, :]
+    scoped = (general == general_there) & (general | there_scopes.overlaps(scopes))
+    return scoped & (none(words) | there_words.none[None, :] | there_words.overlaps(words))
+
+
+class Side:
+    """One block of a task, in the order of the ids, so that a stable order by score puts the smaller of equal candidates first."""
+
+    def __init__(self, table: pa.Table, gated: bool):
+        table = table.combine_chunks().sort_by("id")
+        self.ids = np.array(table["id"].to_pylist(), object)
+        self.company = np.array(table["company"].to_pylist(), object)
+        self.active = table["active"].to_numpy()
+        vectors = table["vector"].combine_chunks()
+        self.vectors = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1) if len(table) else np.empty((0, 0))
+        self.words, self.scopes = (table["words"].to_pylist(), table["scope"].to_pylist()) if gated else (None, None)
+
+
+def best_of(a: Side, b: Side, k: int, least: float | None, gated: bool) -> list[tuple]:
+    """(source, company, candidate, score) columns: of each entity of a, the k best active candidates of every other company in b."""
+    out = []
+    there = np.flatnonzero(b.active)
+    companies, of_company = np.unique(b.company[there].astype(str), return_inverse=True)
+    evidence = (Bags([b.words[i] for i in there]), Bags([b.scopes[i] for i in there])) if gated else None
+    for lo in range(0, len(a.ids) if len(there) else 0, STRIP_ROWS):
+        part = slice(lo, lo + STRIP_ROWS)
+        score = a.vectors[part] @ b.vectors[there].T
+        allowed = a.company[part][:, None] != b.company[there][None, :]
+        if gated:
+            allowed &= gate(a.words[part], a.scopes[part], *evidence)
+        if least is not None:
+            allowed &= score >= least
+        score[~allowed] = -np.inf
+        for n, name in enumerate(companies):
+            at = np.flatnonzero(of_company == n)
+            own = score[:, at]
+            rows = np.flatnonzero(own.max(axis=1) > -np.inf)
+            order = np.argsort(-own[rows], axis=1, kind="stable")[:, :k]
+            top = np.take_along_axis(own[rows], order, 1)
+            row, place = np.nonzero(top > -np.inf)
+            out.append((a.ids[part][rows[row]], np.full(len(row), name, object), b.ids[there[at[order[row, place]]]], top[row, place]))
+    return out
 
 
 def _blocks(df: DataFrame, block_rows: int) -> DataFrame:
     """``df`` with its block within the domain and the number of blocks of the domain."""
-    sizes = df.groupBy("domain").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    return df.join(sizes, "domain").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = df.groupBy("domain", "dim").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    return df.join(sizes, ["domain", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
 def _search(df: DataFrame, k: int, least: float | None, gated: bool, block_rows: int) -> DataFrame:
     """``source, company, candidate, score``: the k best (gated: the best corroborated) active candidates of each other company.
 
-    Entities without company, domain or vector take no part. Equal scores go to the smaller candidate.
+    Entities without company, domain or vector take no part; vectors are compared with those of their own length. Equal scores go to the smaller candidate.
     """
-    columns = ["id", "company", "domain", "vector", "active", *(["words", "scope"] if gated else [])]
-    rows = _blocks(df.select(columns).where("id is not null and company is not null and domain is not null and size(vector) > 0"), block_rows)
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.select("*", every.alias("other"))
-    right = rows.where("active").select("*", every.alias("other"))
-    left = left.select(*columns, F.col("block").alias("i"), F.col("other").alias("j"))
-    right = right.select(*[F.col(c).alias(c) for c in columns], F.col("other").alias("i"), F.col("block").alias("j"))
-
-    def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return _empty()
-        b = b.sort_by("id")  # so that a stable order by score puts the smaller of equal candidates first
-        ids, others = np.array(a["id"].to_pylist(), object), np.array(b["id"].to_pylist(), object)
-        dim = len(a["vector"][0])
-        x = np.array([v if len(v) == dim else [0.0] * dim for v in a["vector"].to_pylist()], np.float64)
-        y = np.array([v if len(v) == dim else [0.0] * dim for v in b["vector"].to_pylist()], np.float64)
-        score = x @ y.T
-        mine, theirs = np.array(a["company"].to_pylist()), np.array(b["company"].to_pylist())
-        allowed = mine[:, None] != theirs[None, :]
-        if gated:
-            allowed &= gate(*(t[c].to_pylist() for c in ("words", "scope") for t in (a, b)))
-        if least is not None:
-            allowed &= score >= least
-        score[~allowed] = -np.inf
-        out = []
-        for name in np.unique(theirs):
-            at = np.flatnonzero(theirs == name)
-            part = score[:, at]
-            order = np.argsort(-part, axis=1, kind="stable")[:, :k]
-            top = np.take_along_axis(part, order, 1)
-            rows, place = np.nonzero(top > -np.inf)
-            out.append((ids[rows], np.full(len(rows), name, object), others[at[order[rows, place]]], top[rows, place]))
-        source, company, candidate, value = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table([pa.array(source, pa.string()), pa.array(company, pa.string()), pa.array(candidate, pa.string()), pa.array(value, pa.float64())], names=_PAIRS.names)
-
-    def _empty() -> pa.Table:
-        return pa.table([pa.array([], pa.string())] * 3 + [pa.array([], pa.float64())], names=_PAIRS.names)
-
-    found = left.groupBy("domain", "i", "j").cogroup(right.groupBy("domain", "i", "j")).applyInArrow(best, _PAIRS)
+    columns = ["id", "company", "domain", "dim", "vector", "active", *(["words", "scope"] if gated else [])]
+    usable = df.where("id is not null and company is not null and domain is not null and size(vector) > 0 and forall(vector, x -> x is not null)")
+    rows = _blocks(usable.withColumn("dim", F.size("vector")).withColumn("active", F.coalesce("active", F.lit(False))).select(columns), block_rows)
+    tasks = rows.select(*columns, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tasks = tasks.select(*columns, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def best(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[-2].as_py(), key[-1].as_py()
+        first = Side(table.filter(pc.equal(table["block"], i)), gated)
+        second = first if i == j else Side(table.filter(pc.equal(table["block"], j)), gated)
+        found = best_of(first, second, k, least, gated)
+        if i != j:
+            found += best_of(second, first, k, least, gated)
+        if not found:
+            return _PAIRS_ARROW.empty_table()
+        return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found, strict=True), _PAIRS_ARROW, strict=True)], schema=_PAIRS_ARROW)
+
+    found = tasks.groupBy("domain", "dim", "i", "j").applyInArrow(best, _PAIRS)
     w = Window.partitionBy("source", "company").orderBy(F.desc("score"), "candidate")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -62,7 +62,7 @@ def test_ranking_matches_brute_force_in_small_blocks(spark, rows):
     assert got == sorted(want, key=repr)
 
 
-def test_overlap_matrix_follows_the_rule():
+def test_overlaps_of_bags_follow_the_rule():
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 7)))
     a, b = ([[word() for _ in range(rng.randrange(4))] for _ in range(40)] for _ in range(2))
@@ -70,7 +70,7 @@ def test_overlap_matrix_follows_the_rule():
     def rule(x, y):
         return any(p == q or (len(p) >= 3 and len(q) >= 3 and (p.startswith(q) or p.endswith(q) or q.startswith(p) or q.endswith(p))) for p in x for q in y)
 
-    assert O.overlap_matrix(a, b).tolist() == [[rule(x, y) for y in b] for x in a]
+    assert O.Bags(b).overlaps(a).tolist() == [[rule(x, y) for y in b] for x in a]
 
 
 def test_empty_matching(spark):
