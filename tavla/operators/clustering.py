@@ -31,21 +31,26 @@ def leaders(vectors: np.ndarray, threshold: float) -> list[int]:
 
 
 def leader_clusters(df: DataFrame, group: Sequence[str], key: str, vector: str, order: Sequence[str], threshold: float = 0.87) -> DataFrame:
-    """``<group>, <key>, seed``: leader clustering of each group, in the given order.
+    """``<group>, <key>, seed``: leader clustering of the distinct vectors of each group, in the given order of their first rows.
 
-    The result depends on the order, so a group is one task; the caller groups by something bounded, such as the
-    distinct values of one field of one company.
+    Equal vectors are one, so that copies cost no more; each row takes its vector's seed, the key of a first row. The result depends on the
+    order, so the distinct vectors of a group are one task; the caller groups by something bounded, such as the
+    distinct values of one field of one company. Rows with a null group are a group of their own.
     """
     key_type = df.schema[key].dataType.simpleString()
-    schema = ", ".join([*(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group), f"`{key}` {key_type}", f"seed {key_type}"])
+    schema = ", ".join([*(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group), f"`{vector}` {df.schema[vector].dataType.simpleString()}", f"seed {key_type}"])
+    rows = df.where(F.col(vector).isNotNull())
+    first = rows.groupBy(*group, vector).agg(F.min(F.struct(*[F.col(c) for c in order], F.col(key).alias("__key"))).alias("__first"))
+    first = first.select(*group, vector, *[F.col("__first")[c].alias(c) for c in order if c not in group], F.col("__first.__key").alias("__key"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
+        pdf = pdf.sort_values([*order, "__key"], kind="stable")
         found = leaders(np.stack([np.asarray(v, float) for v in pdf[vector]]), threshold)
-        keys = pdf[key].to_numpy()
-        return pd.DataFrame({**{g: pdf[g].to_numpy() for g in group}, key: keys, "seed": keys[found]})
+        return pd.DataFrame({**{g: pdf[g].to_numpy() for g in group}, vector: pdf[vector].to_numpy(), "seed": pdf["__key"].to_numpy()[found]})
 
-    return df.where(F.col(vector).isNotNull()).select(*dict.fromkeys([*group, key, vector, *order])).groupBy(*group).applyInPandas(run, schema)
+    seeds = first.groupBy(*group).applyInPandas(run, schema)
+    same = [rows[c].eqNullSafe(seeds[c]) for c in (*group, vector)]
+    return rows.join(seeds, same).select(*[rows[g] for g in group], rows[key], "seed")
 
 
 def cluster_totals(clusters: DataFrame, seed: str, value: str, frequency: str) -> DataFrame:
@@ -60,17 +65,18 @@ def rtl_lines(df: DataFrame, page: str, x: str, y: str, word: str, tolerance: fl
     """``<page>, text``: words of a page from top to bottom and right to left.
 
     A word belongs to the current line while its height differs from that of the line's first word by the tolerance at most.
-    The fold over the sorted words of a page keeps the first height of the line as its state.
+    Only the distinct heights of a page are folded, into the first heights of its lines; a word's line is the last one that
+    begins no lower than it. Lines and pages are grouped by one shuffle.
     """
-    rows = df.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(F.col(y).alias("y"), F.col(x).alias("x"), F.col(word).alias("w")))).alias("ws"))
-    line = "struct<y: double, ws: array<struct<x: double, w: string>>>"
-    folded = F.expr(
-        f"""aggregate(ws, cast(array() as array<{line}>), (acc, e) -> if(size(acc) > 0 and abs(e.y - element_at(acc, -1).y) <= {float(tolerance)},
-              concat(slice(acc, 1, size(acc) - 1), array(named_struct('y', element_at(acc, -1).y, 'ws', concat(element_at(acc, -1).ws, array(named_struct('x', e.x, 'w', e.w)))))),
-              concat(acc, array(named_struct('y', e.y, 'ws', array(named_struct('x', e.x, 'w', e.w)))))))"""
+    words = df.select(F.col(page).alias("__p"), F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(word).alias("__w")).repartition("__p")
+    starts = F.aggregate(
+        F.array_sort(F.collect_set("__y")),
+        F.array().cast("array<double>"),
+        lambda acc, h: F.when((F.size(acc) > 0) & (F.abs(h - F.element_at(acc, -1)) <= tolerance), acc).otherwise(F.concat(acc, F.array(h.cast("double")))),
     )
-    text = F.array_join(
-        F.transform(folded, lambda row: F.array_join(F.transform(F.sort_array(F.transform(row["ws"], lambda t: F.struct(t["x"].alias("x"), t["w"].alias("w"))), asc=False), lambda t: t["w"]), " ")),
-        "\n",
-    )
-    return rows.select(page, text.alias("text"))
+    pages = words.groupBy("__p").agg(starts.alias("__s"))
+    placed = words.join(pages, "__p").withColumn("__l", F.array_max(F.filter("__s", lambda s: s <= F.col("__y"))))
+    of_line = F.sort_array(F.collect_list(F.struct("__x", "__w")), asc=False)
+    lines = placed.groupBy("__p", "__l").agg(F.array_join(F.transform(of_line, lambda t: t["__w"]), " ").alias("t"))
+    whole = F.array_sort(F.collect_list(F.struct("__l", "t")))
+    return lines.groupBy("__p").agg(F.array_join(F.transform(whole, lambda r: r["t"]), "\n").alias("text")).select(F.col("__p").alias(page), "text")

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from tavla.functions import measures as M
 from tavla.functions import text as X
+from tavla.session import cut
 
-#: Phrases of the dictionary (code, category, phrase, order) that may be broadcast; a longer one is an error.
-BROADCAST_PHRASES = 50_000
+#: Phrases of a dictionary (about 100 bytes each) that are broadcast, each typed phrase being compared with all of its category.
+BROADCAST_PHRASES = 5_000
+#: Letters of the pieces by which phrases are joined with the dictionary before they are compared.
+GRAM = 3
 
 
 def exploded_phrases(df: DataFrame, key: str, fields: Sequence[tuple[str, str]]) -> DataFrame:
@@ -33,16 +36,54 @@ def code_phrases(codes: DataFrame, code: str, category: str, name: str, synonyms
     return listed.where("known is not null and known <> ''")
 
 
-def normalised_phrases(phrases: DataFrame, dictionary: DataFrame) -> DataFrame:
+def _grams(c: Column, *sizes: int) -> Column:
+    """The distinct pieces of a text of the given numbers of letters."""
+    def of(n: int) -> Column:
+        return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+
+
+def _rarest_gram(df: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """``category, <key>, gram``: of each text the piece that the fewest dictionary phrases have; texts with a piece that none has are left out.
+
+    Texts shorter than a piece are their own piece.
+    """
+    own = F.when(F.length(key) < GRAM, F.array(key)).otherwise(_grams(F.col(key), GRAM))
+    pieces = df.select("category", key, F.size(own).alias("all"), F.explode(own).alias("gram")).join(counts, ["category", "gram"])
+    best = pieces.groupBy("category", key).agg(F.min(F.struct("n", "gram")).alias("b"), F.count(F.lit(1)).alias("found"), F.max("all").alias("all"))
+    return best.where("found = all").select("category", key, "b.gram")
+
+
+def _holding(distinct: DataFrame, known: DataFrame) -> DataFrame:
+    """``category, __p, known, code``: the known phrases that hold a typed one ``__p`` of their category or are held by it."""
+    distinct, known = cut(distinct), cut(known)
+    sizes = range(1, GRAM + 1)
+    listed = known.select("category", "known", F.explode(_grams(F.col("known"), *sizes)).alias("gram"))
+    counts = listed.groupBy("category", "gram").agg(F.count(F.lit(1)).alias("n"))
+    # A known phrase inside a typed one.
+    short = not known.where(F.length("known").between(1, GRAM - 1)).isEmpty()
+    typed = distinct.select("category", "__p", F.explode(_grams(F.col("__p"), *(sizes if short else [GRAM]))).alias("gram"))
+    inside = typed.join(_rarest_gram(known, "known", counts), ["category", "gram"]).where(F.contains("__p", "known"))
+    # A typed phrase inside a known one.
+    around = _rarest_gram(distinct, "__p", counts).join(listed, ["category", "gram"]).where(F.contains("known", "__p"))
+    return inside.select("category", "__p", "known").unionByName(around.select("category", "__p", "known")).join(known, ["category", "known"])
+
+
+def normalised_phrases(phrases: DataFrame, dictionary: DataFrame, *, broadcast_phrases: int = BROADCAST_PHRASES) -> DataFrame:
     """``phrases`` with ``code``: that of the longest known phrase of its category that holds it or is held by it; null if none.
 
-    Equal lengths go to the smaller known phrase, then code. Distinct phrases are matched once.
+    Equal lengths go to the smaller known phrase, then code. Distinct phrases are matched once, with a small dictionary by broadcast. With a
+    larger one, since a text that holds another has all its pieces of three letters, texts are joined on the rarest piece of the shorter one,
+    whatever the sizes of both sides, and compared afterwards.
     """
-    if dictionary.count() > BROADCAST_PHRASES:
-        raise ValueError("the dictionary is too long to be broadcast")
-    d = dictionary.select(F.col("code"), F.col("category").alias("__c"), "known")
-    distinct = phrases.select("category", X.strip(F.col("phrase")).alias("__p")).where("__p <> ''").distinct()
-    hit = distinct.join(F.broadcast(d), (F.col("category") == F.col("__c")) & (F.contains("__p", "known") | F.contains("known", "__p")))
+    known = dictionary.select("category", "known", "code").where("known <> '' and category is not null").groupBy("category", "known").agg(F.min("code").alias("code"))
+    distinct = phrases.select("category", X.strip(F.col("phrase")).alias("__p")).where("__p <> '' and category is not null").distinct()
+    if dictionary.limit(broadcast_phrases + 1).count() <= broadcast_phrases:
+        d = F.broadcast(known.withColumnRenamed("category", "__c"))
+        hit = distinct.join(d, (F.col("category") == F.col("__c")) & (F.contains("__p", "known") | F.contains("known", "__p"))).drop("__c")
+    else:
+        hit = _holding(distinct, known)
     best = hit.groupBy("category", "__p").agg(F.min_by("code", F.struct(-F.length("known"), "known", "code")).alias("code"))
     return phrases.withColumn("__p", X.strip(F.col("phrase"))).join(best, ["category", "__p"], "left").drop("__p")
 
@@ -79,13 +120,8 @@ def category_jaccard(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataF
     return both.select(a, b, "category", M.jaccard(F.col("ca"), F.col("cb")).alias("jaccard"))
 
 
-def mean_by_status(pairs: DataFrame, status: str, value: str) -> DataFrame:
-    return pairs.groupBy(status).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
-
-
 def last_of_terms(entries: Column) -> Column:
     """A map of term to definition; of a repeated term the last definition wins."""
     n = F.size(entries)
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, n), lambda later: later["term"] == e["term"]))
     return F.map_from_entries(last)
-

@@ -15,12 +15,6 @@ def latest(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame
     return best.select(*key, *[F.col("__row")[c].alias(c) for c in rest])
 
 
-def first_seen(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-
-
 def content_once(df: DataFrame, content: str, order: Sequence[str], known: DataFrame | None = None) -> DataFrame:
     """The first row of each content, by its SHA-256 ``digest``, without contents whose digest is known already; null contents are left out.
 

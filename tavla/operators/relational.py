@@ -41,15 +41,27 @@ def with_fallback(df: DataFrame, options: DataFrame, key: str, value: str, defau
     """``df`` with the option of its key, else that of the default key."""
     specific = options.select(F.col("option").alias(key), F.col(value).alias("__own"))
     general = options.where(F.col("option") == default).select(F.col(value).alias("__default")).limit(1)
+    # One row at most, which is why it may be broadcast.
     return df.join(specific, key, "left").join(F.broadcast(general), F.lit(True), "left").withColumn(value, F.coalesce("__own", "__default")).drop("__own", "__default")
 
 
+#: Base rows that every entity gets.
+MOST_BASE_ROWS = 10_000
+
+
 def expected_rows(entities: DataFrame, base: DataFrame, special: DataFrame, category: str) -> DataFrame:
-    """Every base row for every entity, and the rows of the entity's category; base rows first."""
+    """Every base row for every entity, and the rows of the entity's category; base rows first.
+
+    Base rows are held as one array that every entity unfolds, so they are bounded: more of them are an error.
+    """
     head = [c for c in base.columns]
-    for_all = entities.join(F.broadcast(base), F.lit(True)).select(*entities.columns, *head)
-    own = entities.join(F.broadcast(special), category).select(*entities.columns, *head)
-    return for_all.unionByName(own)
+    held = base.limit(MOST_BASE_ROWS + 1).collect()
+    if len(held) > MOST_BASE_ROWS:
+        raise ValueError(f"more than {MOST_BASE_ROWS} base rows")
+    one = [F.struct(*[F.lit(r[c]).cast(base.schema[c].dataType).alias(c) for c in head]) for r in held]
+    for_all = entities.select("*", F.explode(F.array(*one)).alias("__b")).select(*entities.columns, *[F.col("__b")[c].alias(c) for c in head]) if one else None
+    own = entities.join(special, category).select(*entities.columns, *head)
+    return own if for_all is None else for_all.unionByName(own)
 
 
 def filled_up(expected: DataFrame, given: DataFrame, key: Sequence[str], **defaults: Column) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tavla.functions import measures as M
+from tavla.functions import positions as N
 from tavla.functions import text as X
 from tavla.operators import clustering as L
 from tavla.operators import codes as C
-from tavla.plans.common import BLANK, CODES, DOCS, EXCLUDED, EXTR, MATCHES, MODEL, codes, docs, extractions, matches, words_sql
+from tavla.plans.common import BLANK, CODES, DOCS, EXCLUDED, EXTR, MATCHES, MODEL, SIDES, VECTORS, codes, docs, extractions, matches, words_sql
 from tavla.plans.matching import PERIOD_SQL
 from tavla.sources import files as S
 from tavla.sources import listings as P
@@ -106,7 +107,7 @@ list_filter(list_transform(coalesce(insurance_amounts, []), lambda x: CASE WHEN
 
 @query(f"""WITH {EXTR}, {FP} SELECT document_id, {PERIOD_SQL.format(c='waiting_period')} AS waiting_days, list_min(list_transform(am, lambda a: a.v)) AS amount_min, list_max(list_transform(am, lambda a: a.v)) AS amount_max, am[1].c AS currency, n_exclusions, n_disease_list FROM parsed""")
 def fingerprint_features(spark: SparkSession, d: str) -> DataFrame:
-    """Numeric features of the extractions."""
+    """Numeric features of the extractions; fingerprints has them all."""
     f = C.fingerprint(extractions(spark, d), amounts="insurance_amounts", waiting="waiting_period", qualifying="qualifying_period", survival="survival_period", counts=["exclusions", "disease_list"])
     return f.select("document_id", "waiting_days", "amount_min", "amount_max", "currency", F.col("n_exclusions"), F.col("n_disease_list"))
 
@@ -159,7 +160,7 @@ def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {EXTR}, t AS (SELECT document_id, array_to_string(list_filter(['type: ' || nullif(coverage_type, ''), 'name: ' || nullif(coverage_name, ''), 'limits: ' || nullif(array_to_string(restrictions, '; '), '')], lambda x: x IS NOT NULL), E'\\n') AS text FROM extr)
 SELECT document_id, text, (length(text) // 3 + 300)::BIGINT AS tokens FROM t""")
 def labelled_inputs(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled lines for a model, and the tokens they may take."""
+    """Labelled lines for a model, and the tokens they may take."""
     e = extractions(spark, d)
     text = X.joined([X.labelled("type", F.col("coverage_type")), X.labelled("name", F.col("coverage_name")), X.labelled("limits", F.array_join("restrictions", "; "))])
     return e.select("document_id", text.alias("text")).select("document_id", "text", X.estimated_tokens(F.col("text")).alias("tokens"))
@@ -193,9 +194,19 @@ def parsed_dates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Entries of one made-up body or page of a listing; a busy company has several.
+PAGE_ROWS = 500
+
+
+def _paged(rows: DataFrame, *key: str) -> DataFrame:
+    """``rows`` with the number ``part`` of their page within the key, dealt by file name, so that no page grows with the data."""
+    parts = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / PAGE_ROWS).cast("int").alias("parts"))
+    return rows.join(parts, list(key)).withColumn("part", F.pmod(F.xxhash64("original_file_name"), F.col("parts")))
+
+
 def _bodies(spark: SparkSession, d: str, fields: F.Column, name: str, **more) -> DataFrame:
-    """JSON bodies of a listing made from the documents, one body a company and domain."""
-    rows = docs(spark, d).groupBy("company_id", "domain").agg(F.collect_list(fields).alias(name))
+    """JSON bodies of a listing made from the documents, of bounded size, each of one company and domain."""
+    rows = _paged(docs(spark, d), "company_id", "domain").groupBy("company_id", "domain", "part").agg(F.collect_list(fields).alias(name))
     return rows.select("company_id", "domain", F.to_json(F.struct(*[v.alias(k) for k, v in more.items()], F.col(name))).alias("body"))
 
 
@@ -255,9 +266,9 @@ def media_listing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str, row: F.Column, head: str, tail: str) -> DataFrame:
-    """HTML pages made from the documents, one a company."""
-    named = docs(spark, d).withColumn("plain", X.strip(F.regexp_replace(F.coalesce("appendix_name", F.lit("")), '(?U)["\\s<>&\'\\p{Cf}]+', " ")))
-    rows = named.groupBy("company_id").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
+    """HTML pages made from the documents, of bounded size, each of one company."""
+    named = _paged(docs(spark, d), "company_id").withColumn("plain", X.strip(F.regexp_replace(F.coalesce("appendix_name", F.lit("")), '(?U)["\\s<>&\'\\p{Cf}]+', " ")))
+    rows = named.groupBy("company_id", "part").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
     return rows.select(F.lit("health").alias("domain"), F.col("company_id").alias("page"), F.concat(F.lit(head), "rows", F.lit(tail)).alias("html"))
 
 
@@ -266,7 +277,7 @@ PLAIN = r"regexp_replace(regexp_replace(coalesce(appendix_name, ''), '[\x{0022}\
 
 @query(f"""WITH {DOCS} SELECT {PLAIN} AS title, [coalesce(appendix_number[1], '-')] AS numbers, '/f/' || id || '.pdf' AS download_url, marketing_start_date AS start_date FROM docs""")
 def table_listing(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of HTML tables are read."""
+    """Rows of HTML tables are read."""
     row = F.concat(F.lit('<tr><td><a class="x" href="/f/'), "id", F.lit('.pdf"><b>'), "plain", F.lit("</b></a></td><td> "), F.coalesce(F.get("appendix_number", 0), F.lit("-")), F.lit("</td><td>z</td><td>"), F.coalesce(F.date_format("marketing_start_date", "dd.MM.yyyy"), F.lit("")), F.lit("</td></tr>"))
     pages = _pages(spark, d, row, '<html><table id="policies"><tr><th>t</th></tr>', "</table></html>")
     return P.table_html(pages, "html").select("title", F.col("appendix_numbers").alias("numbers"), "download_url", F.col("marketing_start_date").alias("start_date"))
@@ -274,10 +285,10 @@ def table_listing(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {DOCS} SELECT company_id AS page, 'https://s/media/' || original_file_name AS download_url, count(*) AS n FROM docs GROUP BY ALL HAVING count(*) >= 1""")
 def anchor_listing(spark: SparkSession, d: str) -> DataFrame:
-    """Links of pages, each address once a page."""
+    """Links of pages, each address once a page."""
     row = F.concat(F.lit('<a href="https://s//media/'), "original_file_name", F.lit('">'), "plain", F.lit("</a>"))
     pages = _pages(spark, d, row, "<div>", "</div>")
-    found = P.anchors_html(pages.unionByName(pages.limit(0)), "page", "html").select("page", "download_url")
+    found = P.anchors_html(pages, "page", "html").select("page", "download_url")
     n = docs(spark, d).groupBy(F.col("company_id").alias("page"), F.concat(F.lit("https://s/media/"), "original_file_name").alias("download_url")).agg(F.count(F.lit(1)).alias("n"))
     return found.join(n, ["page", "download_url"])
 
@@ -301,7 +312,7 @@ def cell_listing(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {EXTR} SELECT document_id AS custom_id, coverage_name AS name, CASE WHEN disease_count IS NOT NULL THEN disease_count::BIGINT END AS n FROM extr WHERE coverage_name IS NOT NULL OR disease_count IS NOT NULL""")
 def batch_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Results of a batch service are decoded; failed lines and those of the error file give no row."""
+    """Results of a batch service are decoded; failed lines and those of the error file give no row."""
     e = extractions(spark, d)
     content = F.to_json(F.struct(F.col("coverage_name").alias("name"), F.col("disease_count").alias("n")))
     body = F.struct(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")).alias("body"))
@@ -350,26 +361,68 @@ def vector_lengths(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("document_id").agg(F.round(F.max(F.sqrt(M.dot(F.col("embedding"), F.col("embedding")))), 6).alias("length"))
 
 
-@query()
+def _places_sql(text: str, pattern: str) -> str:
+    """Matches with their places, as functions.positions.places."""
+    words, pieces = f"regexp_extract_all({text}, {q(pattern)})", f"string_split_regex({text}, {q(pattern)})"
+    lengths = "coalesce(list_sum(list_transform({}, lambda x: length(x)))::INT, 0)"
+    return f"list_transform(range(1, len({words}) + 1), lambda i: struct_pack(at := {lengths.format(f'({pieces})[1:i]')} + {lengths.format(f'({words})[1:i - 1]')}, word := ({words})[i]))"
+
+
+def _nearest_sql(text: str, word: str, reach: int) -> str:
+    lo = f"greatest(0, m.at - {reach})"
+    around = f"substring({text}, {lo} + 1, m.at + length(m.word) + {reach} - {lo})"
+    numbers = f"list_filter({_places_sql(around, N.NUMBER_RUN)}, lambda n: regexp_full_match(n.word, '\\d{{2,4}}'))"
+    far = f"least(abs({lo} + n.at - m.at), abs({lo} + n.at - m.at - length(m.word)))"
+    mentions = _places_sql(text, word)
+    return f"list_min(flatten(list_transform({mentions}, lambda m: list_transform({numbers}, lambda n: struct_pack(far := {far}, mention := m.at, at := n.at, number := n.word))))).number"
+
+
+@query(f"""WITH w AS (SELECT doc_id, substring(text, 1, {N.TITLE_CHARS}) AS t FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, t, coalesce(nullif(regexp_extract(t, {q(N.CLEAN_NUMBER)}, 1), ''), {_nearest_sql('t', N.KEYWORD, N.NEAR_KEYWORD)}, {_nearest_sql('t', N.EDITION_WORD, N.NEAR_EDITION)}) AS number,
+  {FIRST.format(c='t', p=q(N.EDITION))} AS mark FROM w)
+SELECT doc_id, CASE WHEN ltrim(number, '0') <> '' THEN number END AS number,
+  CASE WHEN substring(mark, 1, 2)::INT BETWEEN 1 AND 12 AND substring(mark, 4, 4)::INT > 0 THEN make_date(substring(mark, 4, 4)::BIGINT, substring(mark, 1, 2)::BIGINT, 1) END AS edition FROM n""")
 def nearest_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Number and edition of a document's beginning, by position."""
-    from tavla.functions.positions import number_and_edition
-
-    return table(spark, d, "documents").where("text is not null").select("doc_id", number_and_edition(F.col("text")).alias("r")).select("doc_id", "r.number", "r.edition")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", N.title_number(F.col("text")).alias("number"), N.title_edition(F.col("text")).alias("edition"))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, string_split_regex(text, '[ \\t\\n\\f\\r]+') AS ws FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM l),
+lines AS (SELECT doc_id, i // 7 AS line, string_agg(word, ' ' ORDER BY i % 7) AS t FROM w WHERE word <> '' GROUP BY ALL)
+SELECT doc_id, string_agg(t, E'\\n' ORDER BY line) AS text FROM lines GROUP BY 1""")
 def rtl_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Words of a page in reading order; the boxes are made from the texts' words."""
+    """Words of a page in reading order; the boxes, seven a line with uneven heights, are made from the texts' words."""
     texts = table(spark, d, "documents").where("text is not null")
-    words = texts.select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("i", "word")).where("word <> ''")
+    words = texts.select("doc_id", F.posexplode(F.split("text", r"[ \t\n\f\r]+")).alias("i", "word")).where("word <> ''")
     boxes = words.select("doc_id", (500 - (F.col("i") % 7) * 60).cast("double").alias("x"), (F.floor(F.col("i") / 7) * 20 + (F.col("i") % 3)).cast("double").alias("y"), "word")
     return L.rtl_lines(boxes, "doc_id", "x", "y", "word", 10.0)
 
 
-@query()
+LEADERS = f"""WITH RECURSIVE {DOCS}, {EXTR}, {VECTORS}, {SIDES}, firsts AS (SELECT company, domain, v, min(id) AS k FROM sides GROUP BY ALL),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY company, domain ORDER BY k) AS n FROM firsts),
+walk AS (SELECT company, domain, n, v, k AS seed, [struct_pack(k := k, v := v)] AS seeds FROM ordered WHERE n = 1
+  UNION ALL SELECT company, domain, n, v, CASE WHEN best.s >= 0.87 THEN best.k ELSE k END, CASE WHEN best.s >= 0.87 THEN seeds ELSE list_append(seeds, struct_pack(k := k, v := v)) END
+  FROM (SELECT o.*, w.seeds, list_max(list_transform(w.seeds, lambda x, i: struct_pack(s := list_dot_product(x.v, o.v), first := -i, k := x.k))) AS best FROM walk w JOIN ordered o ON o.company = w.company AND o.domain = w.domain AND o.n = w.n + 1)),
+led AS (SELECT s.company, s.domain, s.id, w.seed FROM sides s JOIN walk w ON w.company = s.company AND w.domain = s.domain AND w.v = s.v)"""
+
+
+def _led(spark: SparkSession, d: str) -> DataFrame:
+    from tavla.plans.common import entities
+
+    named = entities(spark, d).where("company is not null and domain is not null")
+    return L.leader_clusters(named, ["company", "domain"], "id", "vector", ["id"], 0.87)
+
+
+@query(f"{LEADERS} SELECT company, domain, id, seed FROM led")
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Leader clustering of the vectors of each company and domain, in the order of the ids."""
-    from tavla.plans.common import entities
+    return _led(spark, d)
+
 
-    return L.leader_clusters(entities(spark, d), ["company", "domain"], "id", "vector", ["id"], 0.87)
+@query(f"""{LEADERS}, sized AS (SELECT l.seed, l.id, coalesce(d.pages_count, 0)::BIGINT AS n FROM led l JOIN docs d ON d.id = l.id)
+SELECT seed, sum(n)::BIGINT AS total_frequency, count(*) AS member_count, list(id ORDER BY n DESC, id) AS members FROM sized GROUP BY 1""")
+def cluster_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The clusters with their totals, members by weight; a document's pages stand for the frequency of a value."""
+    pages = docs(spark, d).select("id", F.coalesce(F.col("pages_count").cast("bigint"), F.lit(0)).alias("n"))
+    return L.cluster_totals(_led(spark, d).join(pages, "id"), "seed", "id", "n").orderBy(F.desc("total_frequency"), "seed")

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -63,19 +64,27 @@ def cut(df: DataFrame, **measured: Column) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tavla-{uuid.uuid4().hex}"
-    observation = Observation() if measured else None
-    (df.observe(observation, *[c.alias(k) for k, c in measured.items()]) if measured else df).write.parquet(path)
+    df, count = seen_while(df, **measured)
+    df.write.parquet(path)
     fs, p = _file_system(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._tavla_path = path
-    out._tavla_seen = observation.get if observation else {}
+    out._tavla_seen = count
     return out
 
 
+def seen_while(df: DataFrame, **measured: Column) -> tuple[DataFrame, Callable[[str], int]]:
+    """``df`` that takes aggregates of its rows while an action runs over it, and a function that gives them afterwards."""
+    if not measured:
+        return df, lambda name: 0
+    observation = Observation()
+    return df.observe(observation, *[c.alias(k) for k, c in measured.items()]), lambda name: observation.get.get(name) or 0
+
+
 def seen(df: DataFrame, name: str) -> int:
     """A count that :func:`cut` took while it wrote; of a plan that the optimizer knew to be empty it is zero."""
-    return df._tavla_seen.get(name) or 0
+    return df._tavla_seen(name)
 
 
 def discard(df: DataFrame) -> None:

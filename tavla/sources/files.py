@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Sequence
 
 import pandas as pd
@@ -21,12 +19,13 @@ def batch_lines(requests: DataFrame, custom_id: str, model: str, system: str, us
     return requests.select(F.to_json(line).alias("value"))
 
 
-def decoded_batch(lines: DataFrame, schema: str, errors: DataFrame | None = None, *, skip_failures: bool = False) -> DataFrame:
+def decoded_batch(lines: DataFrame, schema: str, errors: DataFrame | None = None, *, skip_failures: bool = False, with_failures: bool = False) -> DataFrame:
     """``custom_id, result``: the parsed content of every line of a batch result (column ``value``).
 
     An error, invalid JSON and content that isn't of the schema give a null result, or no row with ``skip_failures``. Lines of the
     error file fill in ids that the result file lacks. Blank lines are skipped; of several lines with one id one with a result is kept.
-    NUL characters are taken out of the content.
+    NUL characters are taken out of the content. ``with_failures`` adds ``failed``: the lines of an id without a result, and the
+    further ones of an id that has one.
     """
     def read(df: DataFrame) -> DataFrame:
         parsed = df.where("trim(value) <> ''").select(F.from_json("value", ENVELOPE).alias("e")).where("e.custom_id is not null")
@@ -39,7 +38,10 @@ def decoded_batch(lines: DataFrame, schema: str, errors: DataFrame | None = None
     # A struct without a single field read is content of another shape.
     fields = [f.name for f in rows.schema["result"].dataType.fields]
     held = F.col("result").isNotNull() & ~F.forall(F.array(*[F.col("result")[f].isNull() for f in fields]), lambda x: x)
-    once = rows.withColumn("result", F.when(held, F.col("result"))).groupBy("custom_id").agg(F.max_by("result", F.struct(F.col("result").isNotNull(), "content")).alias("result"))
+    once = rows.withColumn("result", F.when(held, F.col("result"))).groupBy("custom_id").agg(
+        F.max_by("result", F.struct(F.col("result").isNotNull(), "content")).alias("result"), (F.count(F.lit(1)) - F.when(F.count("result") > 0, 1).otherwise(0)).alias("failed")
+    )
+    once = once if with_failures else once.drop("failed")
     return once.where("result is not null") if skip_failures else once
 
 
@@ -50,30 +52,38 @@ def last_checkpoint(lines: DataFrame, schema: str, key: str, order: str) -> Data
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``value, file, line``: the lines of text files with their order in the file."""
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
-    return lines
+    """``value, file, line``: the lines of text files, numbered within each file from zero.
+
+    A file is read as a whole by one task, so it must fit one (a checkpoint is appended file by file); the number then is its true place.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
+    return whole.select("file", F.posexplode(lines).alias("line", "value")).select("value", "file", F.col("line").cast("bigint").alias("line"))
 
 
 def append_lines(df: DataFrame, path: str) -> None:
+    """A checkpoint grows by one set of files a call; nothing written before is touched."""
     df.write.mode("append").json(path)
 
 
-def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    """A cached listing, or None where there is none yet."""
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return None
-    return spark.read.schema(schema).json(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_cache(spark: SparkSession, path: str, schema: str, *, whole: bool = False) -> DataFrame | None:
+    """A cached listing, or None where there is none yet; ``whole`` where a file is one JSON document (an array of entries), not a line each."""
+    return spark.read.schema(schema).json(path, multiLine=whole) if exists(spark, path) else None
 
 
 def write_cache(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def listed_files(spark: SparkSession, path: str, pattern: str = "*.pdf", limit: int | None = None) -> DataFrame:
-    """``path, length, modificationTime, content`` of files below a folder, by path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).orderBy("path")
+def listed_files(spark: SparkSession, path: str, pattern: str = "*.pdf", limit: int | None = None, *, with_content: bool = True) -> DataFrame:
+    """``path, length, modificationTime[, content]`` of files below a folder, by path; without the content no file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    files = (files if with_content else files.drop("content")).orderBy("path")
     return files if limit is None else files.limit(limit)
 
 
@@ -91,38 +101,56 @@ def mean_confidence(words: DataFrame, page: str, confidence: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
-    """Entries of a versioned dictionary file (JSON, or YAML where a parser is installed) under ``key``; a missing file is an error."""
-    if not os.path.exists(path):
+    """Entries of a versioned dictionary file (JSON, or YAML where a parser is installed) under ``key``; a missing file is an error.
+
+    The file is read through Spark, so it may lie in any file system that the cluster shares.
+    """
+    if not exists(spark, path):
         raise FileNotFoundError(f"no dictionary at {path}")
-    with open(path, encoding="utf-8") as f:
-        if path.endswith(".json"):
-            content = json.load(f)
-        else:
-            import yaml
+    if path.endswith((".yaml", ".yml")):
+        import yaml
 
-            content = yaml.safe_load(f)
-    return spark.createDataFrame(content[key], schema)
+        text = "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+        return spark.createDataFrame(yaml.safe_load(text)[key], schema)
+    content = spark.read.schema(f"`{key}` array<struct<{schema}>>").json(path, multiLine=True)
+    return content.select(F.inline(key))
 
 
 def write_csv(df: DataFrame, path: str, order: Sequence[str]) -> int:
     """One CSV file with a header and a byte order mark, rows in order; the number of rows.
 
-    Rows come to the driver partition by partition, so it holds one partition at a time.
+    Executors write the parts of the order side by side; the file system joins their bytes, which don't pass through Python.
     """
-    n = 0
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
-        import csv
-
-        out = csv.writer(f)
-        out.writerow(df.columns)
-        for row in df.orderBy(*order).toLocalIterator(prefetchPartitions=True):
-            out.writerow(["" if v is None else v for v in row])
-            n += 1
-    return n
+    from tavla.session import seen_while
+
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, parts = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.parts")
+    fs = target.getFileSystem(conf)
+    counted, count = seen_while(df.repartitionByRange(*order).sortWithinPartitions(*order), n=F.count(F.lit(1)))
+    counted.write.mode("overwrite").option("header", False).option("escape", '"').option("emptyValue", "").option("nullValue", "").option("lineSep", "\r\n").csv(parts.toString())
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(("\ufeff" + ",".join(df.columns) + "\r\n").encode()))
+        for name in sorted(f.getPath().toString() for f in fs.listStatus(parts) if f.getPath().getName().startswith("part-")):
+            part = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+    finally:
+        out.close()
+    fs.delete(parts, True)
+    return count("n")
 
 
 def write_report(df: DataFrame, path: str, order: Sequence[Column]) -> None:
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").json(path)
+    """Rows in order; the parts of the folder follow each other."""
+    df.orderBy(*order).write.mode("overwrite").json(path)
+
+
+def write_reports(reports: dict[str, tuple[DataFrame, Sequence[Column]]], folder: str) -> None:
+    """Several reports, each in a folder of its name."""
+    for name, (df, order) in reports.items():
+        write_report(df, f"{folder}/{name}", order)
 
 
 def modelled(df: DataFrame, text: str, out: str, function, *, out_type: str = "string", batch: int = 64) -> DataFrame:

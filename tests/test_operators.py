@@ -151,6 +151,24 @@ def test_codes(spark, rows):
     assert got == sorted([(" שבץ מוחי ", "STROKE"), ("סרטן השד", "CANCER"), ("אחר", None), ("שבץ", None)], key=repr)
 
 
+@pytest.mark.parametrize("broadcast", [0, 5_000])
+def test_codes_in_either_way(spark, broadcast):
+    """Small and large dictionaries give what comparing all phrases gives, phrases of one or two letters included."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcd ") for _ in range(n)).strip() or "a"
+    known = [(f"K{i:02}", rng.choice("xy"), text(rng.choice([1, 2, 3, 4, 5, 9]))) for i in range(60)]
+    typed = [(rng.choice("xy"), text(rng.randrange(1, 14))) for _ in range(150)] + [("x", ""), ("x", None), (None, "abc"), ("z", "abc")]
+    d = spark.createDataFrame(known, "code string, category string, known string")
+    p = spark.createDataFrame(typed, "category string, phrase string")
+
+    def want(c, t):
+        fits = [(-len(n), n, k) for k, kc, n in known if t and t.strip() and kc == c and (n in t.strip() or t.strip() in n)]
+        return min(fits)[2] if fits else None
+
+    got = C.normalised_phrases(p, d, broadcast_phrases=broadcast).collect()
+    assert sorted(((r["category"], r["phrase"], r["code"]) for r in got), key=repr) == sorted(((c, t, want(c, t)) for c, t in typed), key=repr)
+
+
 def leader_model(vectors, threshold):
     seeds, out = [], []
     for i, v in enumerate(vectors):

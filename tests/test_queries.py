@@ -6,8 +6,10 @@ import os
 
 import pytest
 
+import __spark_entry__ as entry
+
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-MODULES = ["tavla.plans.history", "tavla.plans.matching", "tavla.plans.relational", "tavla.plans.parsing", "tavla.plans.api"]
+MODULES = entry.PLANS
 NAMES = [(m, n) for m in MODULES for n in importlib.import_module(m).QUERIES]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

@@ -140,12 +140,36 @@ def test_measures(value):
     assert value(M.item_at, ["a"], -1, types=["array<string>", "int"]) is None
 
 
-def test_positions():
-    assert title_number("נספח מספר 123") == "123"
-    assert title_number("99 נספח xx 77") == "99"
-    assert title_number("נספח 000") is None
-    assert title_number("נספח מס' 45", frozenset({"45"})) is None
-    assert nearest_number("12 מילה", __import__("re").compile("מילה"), 1) is None
-    assert title_edition("מהדורה: 05/2015") == date(2015, 5, 1)
-    assert title_edition("מהדורה: 15/2015") is None
-    assert title_edition("") is None
+def test_positions(value):
+    assert value(title_number, "נספח מספר 123") == "123"
+    assert value(title_number, "99 נספח xx 77") == "99"
+    assert value(title_number, "נספח 000") is None
+    assert value(title_number, None) is None
+    assert value(lambda c: title_number(c, ["45"]), "נספח מס' 45") is None
+    assert value(lambda c: nearest_number(c, "מילה", 1), "12 מילה") is None
+    assert value(lambda c: nearest_number(c, "מילה", 9), "12/3 מילה 4.5 678") == "678"
+    assert value(title_edition, "מהדורה: 05/2015") == date(2015, 5, 1)
+    assert value(title_edition, "מהדורה: 15/2015") is None
+    assert value(title_edition, "") is None
+
+
+def test_places_and_nearest_numbers_match_a_plain_search(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tavla.functions.positions import places
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["ab", " ", "12", "345", "7", "/", ".", "x", "67890"]) for _ in range(rng.randrange(40))) for _ in range(200)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", places(F.col("t"), "ab").alias("p"), nearest_number(F.col("t"), "ab", 8).alias("n")).collect()
+    lone = re.compile(r"(?<![\d/.])(\d{2,4})(?![\d/.])")
+    for r in rows:
+        t, found = texts[r["i"]], []
+        words = [m.start() for m in re.finditer("ab", t)]
+        assert [p["at"] for p in r["p"]] == words
+        for k, w in enumerate(words):
+            lo = max(0, w - 8)
+            found += [(min(abs(lo + m.start() - w), abs(lo + m.start() - w - 2)), k, m.start(), m[1]) for m in lone.finditer(t[lo : w + 10])]
+        assert r["n"] == (min(found)[3] if found else None)
