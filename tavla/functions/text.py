@@ -264,3 +264,25 @@ def short_duration_days(c: Column) -> Column:
 def pair_key(a: Column, b: Column, sep: str = "|||") -> Column:
     """One key for an unordered pair."""
     return F.concat_ws(sep, F.least(a, b), F.greatest(a, b))
+
+
+def first_found(candidates: Sequence[Column]) -> Column:
+    """The first list that isn't empty; an empty list if all are empty or null."""
+    return F.coalesce(*[F.when(F.size(c) > 0, c) for c in candidates], F.array().cast("array<string>"))
+
+
+def chosen_numbers(found: Column, hint: Column, *, hint_wins: bool) -> Column:
+    """The numbers read from a text, unless the file name's hint decides: it fills in where nothing was read, and where it
+    isn't among those read it wins or loses as the source's reliability says."""
+    found = F.coalesce(found, F.array().cast("array<string>"))
+    hinted = F.when(hint.isNotNull() & (hint != ""), F.array(hint))
+    lone = F.coalesce(hinted, found)
+    if not hint_wins:
+        return F.when(F.size(found) == 0, lone).otherwise(found)
+    return F.when(hinted.isNotNull() & F.array_contains(found, hint), found).otherwise(lone)
+
+
+def sections(*parts: tuple[str, Column]) -> Column:
+    """A text of sections: a heading (empty for none), then the section's lines (a list; null and empty ones are left out)."""
+    lines = [F.concat(F.array(F.lit(head)) if head else F.array().cast("array<string>"), F.filter(body, lambda x: x.isNotNull() & (x != ""))) for head, body in parts]
+    return F.array_join(F.concat(*lines), "\n")

@@ -88,23 +88,53 @@ def normalised_phrases(phrases: DataFrame, dictionary: DataFrame, *, broadcast_p
     return phrases.withColumn("__p", X.strip(F.col("phrase"))).join(best, ["category", "__p"], "left").drop("__p")
 
 
-def fingerprint(df: DataFrame, *, amounts: str, waiting: str, qualifying: str, survival: str, deductible_applies: str | None = None, deductible_text: str | None = None, counts: Sequence[str] = ()) -> DataFrame:
-    """Numeric features of extracted texts: periods in days, least and greatest amount with the first one's currency, list sizes."""
-    parsed = F.filter(F.transform(F.coalesce(F.col(amounts), F.array().cast("array<string>")), X.amount), lambda a: a.isNotNull())
-    values = F.transform(F.col("__parsed"), lambda a: a["value"])
-    out = df.withColumn("__parsed", parsed).select(
+def fingerprint(
+    df: DataFrame,
+    *,
+    amounts: str,
+    waiting: str,
+    qualifying: str,
+    survival: str,
+    caps: str | None = None,
+    calculation: str | None = None,
+    ages: str | None = None,
+    deductible_applies: str | None = None,
+    deductible_text: str | None = None,
+    benefit: str | None = None,
+    benefit_code: str | None = None,
+    counts: Sequence[str] = (),
+) -> DataFrame:
+    """Numeric features of extracted texts: periods in days, least and greatest amount with the first one's currency, list sizes.
+
+    Of the optional columns come ``maximum`` (the greatest of ``caps``), ``percent``, the two ages of a range ``ages``, ``deductible`` (only if it
+    applies and has a text) and ``benefit_type`` (the code, else the text as it stands). What can't be read is null.
+    """
+    def read(c: str) -> Column:
+        return F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), X.amount), lambda a: a.isNotNull())
+
+    values = lambda c: F.transform(F.col(c), lambda a: a["value"])
+    out = df.withColumn("__parsed", read(amounts)).select(
         "*",
         X.period_days(F.col(waiting)).alias("waiting_days"),
         X.period_days(F.col(qualifying)).alias("qualifying_days"),
         X.period_days(F.col(survival)).alias("survival_days"),
-        F.array_min(values).alias("amount_min"),
-        F.array_max(values).alias("amount_max"),
+        F.array_min(values("__parsed")).alias("amount_min"),
+        F.array_max(values("__parsed")).alias("amount_max"),
         F.get(F.transform(F.col("__parsed"), lambda a: a["currency"]), 0).alias("currency"),
         *[M.size_of(F.col(c)).alias(f"n_{c}") for c in counts],
     )
+    if caps:
+        out = out.withColumn("__caps", read(caps)).withColumn("maximum", F.array_max(values("__caps"))).drop("__caps")
+    if calculation:
+        out = out.withColumn("percent", X.percentage(F.col(calculation)))
+    if ages:
+        numbers = X.groups(F.col(ages), r"(\d+)")
+        out = out.withColumns({"min_age": F.get(numbers, 0).try_cast("int"), "max_age": F.get(numbers, 1).try_cast("int")})
     if deductible_applies and deductible_text:
         applies = F.col(deductible_applies) & (F.col(deductible_text) != "")
         out = out.withColumn("deductible", F.when(applies, X.amount(F.col(deductible_text))["value"]))
+    if benefit:
+        out = out.withColumn("benefit_type", F.coalesce(F.col(benefit_code), F.col(benefit)) if benefit_code else F.col(benefit))
     return out.drop("__parsed")
 
 

@@ -52,10 +52,13 @@ def latest_by_number(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("company_id", "number").agg(F.max_by("id", F.struct("created_date", "id")).alias("id"), F.count(F.lit(1)).alias("candidates"))
 
 
-@query(f"WITH {DOCS} SELECT id, appendix_name FROM docs WHERE company_id = 'nirvad' AND list_contains(appendix_number, '200')")
+@query(f"""WITH {DOCS}, n AS (SELECT min(x) AS x FROM (SELECT unnest(appendix_number) AS x FROM docs WHERE company_id = 'nirvad'))
+SELECT id, appendix_name FROM docs, n WHERE company_id = 'nirvad' AND list_contains(appendix_number, x)""")
 def by_number(spark: SparkSession, d: str) -> DataFrame:
-    """documents of a company that hold an appendix number."""
-    return docs(spark, d).where((F.col("company_id") == "nirvad") & F.array_contains("appendix_number", "200")).select("id", "appendix_name")
+    """documents of a company with a number among theirs; the smallest number that it has."""
+    own = docs(spark, d).where("company_id = 'nirvad'")
+    number = own.select(F.explode("appendix_number").alias("x")).agg(F.min("x").alias("x")).first()["x"]
+    return own.where(F.array_contains("appendix_number", F.lit(number))).select("id", "appendix_name")
 
 
 def _ledger(spark: SparkSession, d: str) -> DataFrame:

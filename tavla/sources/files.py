@@ -128,7 +128,8 @@ def write_csv(df: DataFrame, path: str, order: Sequence[str]) -> int:
     target, parts = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.parts")
     fs = target.getFileSystem(conf)
     counted, count = seen_while(df.repartitionByRange(*order).sortWithinPartitions(*order), n=F.count(F.lit(1)))
-    counted.write.mode("overwrite").option("header", False).option("escape", '"').option("emptyValue", "").option("nullValue", "").option("lineSep", "\r\n").csv(parts.toString())
+    plain = {"header": False, "escape": '"', "emptyValue": "", "nullValue": "", "lineSep": "\r\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    counted.write.mode("overwrite").options(**plain).csv(parts.toString())
     out = fs.create(target, True)
     try:
         out.write(bytearray(("\ufeff" + ",".join(df.columns) + "\r\n").encode()))

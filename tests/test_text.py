@@ -173,3 +173,18 @@ def test_places_and_nearest_numbers_match_a_plain_search(spark):
             lo = max(0, w - 8)
             found += [(min(abs(lo + m.start() - w), abs(lo + m.start() - w - 2)), k, m.start(), m[1]) for m in lone.finditer(t[lo : w + 10])]
         assert r["n"] == (min(found)[3] if found else None)
+
+
+def test_chosen_numbers(spark, rows):
+    cases = [(["1", "2"], "2"), (["1"], "9"), (["1"], None), ([], "9"), (None, "9"), ([], None), (["1"], "")]
+    df = spark.createDataFrame(cases, "found array<string>, hint string")
+    got = df.select(X.chosen_numbers(F.col("found"), F.col("hint"), hint_wins=True).alias("a"), X.chosen_numbers(F.col("found"), F.col("hint"), hint_wins=False).alias("b")).collect()
+    assert [r["a"] for r in got] == [["1", "2"], ["9"], ["1"], ["9"], ["9"], [], ["1"]]
+    assert [r["b"] for r in got] == [["1", "2"], ["1"], ["1"], ["9"], ["9"], [], ["1"]]
+    first = spark.createDataFrame([([], ["x"]), (None, []), (["y"], ["x"])], "p array<string>, q array<string>").select(X.first_found([F.col("p"), F.col("q")]).alias("f"))
+    assert sorted(r["f"] for r in first.collect()) == [[], ["x"], ["y"]]
+
+
+def test_sections(spark):
+    df = spark.createDataFrame([(["a", None, ""], [])], "p array<string>, q array<string>")
+    assert df.select(X.sections(("# one", F.col("p")), ("", F.col("q")), ("# two", F.col("q"))).alias("t")).first()["t"] == "# one\na\n# two"
