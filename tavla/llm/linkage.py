@@ -11,7 +11,7 @@ over small rows and a sum per pattern.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -118,6 +118,7 @@ def link_records(
     passes: Sequence[str],
     comparisons: Sequence[Comparison],
     *,
+    keys: tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]] | None = None,
     share: float = 0.5,
     rounds: int = 15,
     tolerance: float = 1e-3,
@@ -126,7 +127,7 @@ def link_records(
     """``lid, rid, confidence, any_match``: the best right record of every left one that has more likely than ``least`` a match.
 
     ``left`` has ``lid`` and ``right`` has ``rid``, each unique; the other columns are those that the passes and comparisons
-    name. A pass on one field alone makes that field agree among most other pairs, so it should be rare beside the
+    name; ``keys`` may add the passes to either side later, so that they needn't be stored. A pass on one field alone makes that field agree among most other pairs, so it should be rare beside the
     passes on identifying names. ``confidence`` is the posterior of the pair, ``any_match`` that of some candidate being a match. Equal posteriors go to
     the smaller ``rid``. Left records without candidates and empty tables give no rows; nulls must have a level in the comparisons.
     """
@@ -140,7 +141,8 @@ def link_records(
     # Short numbers stand for the records until a match is known.
     left = cut(left.withColumn("__l", F.monotonically_increasing_id()))
     right = cut(right.withColumn("__r", F.monotonically_increasing_id()))
-    pairs = candidate_pairs(left.select(F.col("__l").alias("lid"), *passes), right.select(F.col("__r").alias("rid"), *passes), passes)
+    add = keys or (lambda df: df, lambda df: df)
+    pairs = candidate_pairs(add[0](left).select(F.col("__l").alias("lid"), *passes), add[1](right).select(F.col("__r").alias("rid"), *passes), passes)
     pattern = F.lit(0).cast("bigint")
     for c in comparisons:
         pattern = pattern * len(c.match) + c.level.cast("bigint")

@@ -224,7 +224,17 @@ def _keyed(features: DataFrame, loose: Column) -> DataFrame:
         keyed(loose, F.col("short")).alias("by_part"),
         keyed(company.isNotNull() & F.col("day").isNotNull(), F.array(F.concat_ws("|", "company", "day"))).alias("by_day"),
         keyed(company.isNotNull() & F.col("month").isNotNull(), F.transform("product", lambda w: F.concat_ws("|", "company", "month", w))).alias("by_month"),
-    ).drop("short")
+    )
+
+
+def listing_keys(features: DataFrame) -> DataFrame:
+    """Misspelt names are sought among all companies only where the company isn't known: the pass agrees on names
+    alone, and over all listings it would make names agree among other pairs and so count for less."""
+    return _keyed(features, F.col("company").isNull())
+
+
+def document_keys(features: DataFrame) -> DataFrame:
+    return _keyed(features, F.lit(True))
 
 
 def listing_features(listings: DataFrame, companies: list[tuple[str, str]], common: Sequence[str]) -> DataFrame:
@@ -241,9 +251,7 @@ def listing_features(listings: DataFrame, companies: list[tuple[str, str]], comm
 
     columns = ["company_label", "listed_title", "cover_kind", "cover_title", "sold_from"]
     once = listings.where("listing_id is not null").groupBy("listing_id").agg(F.max(F.struct(*columns)).alias("r")).select("listing_id", "r.*")
-    # Misspelt names are sought among all companies only where the company isn't known: the pass agrees on names
-    # alone, and over all listings it would make names agree among other pairs and so count for less.
-    return _keyed(spread(once).mapInPandas(run, "lid bigint, " + FEATURES), F.col("company").isNull())
+    return spread(once).mapInPandas(run, "lid bigint, " + FEATURES)
 
 
 def document_features(docs: DataFrame, common: Sequence[str]) -> DataFrame:
@@ -258,7 +266,7 @@ def document_features(docs: DataFrame, common: Sequence[str]) -> DataFrame:
             yield pd.DataFrame([(i, *_features(c, t, v, kind, day, day[:7] if day else None)) for i, c, t, v, kind, day in rest], columns=["rid", *_COLUMNS])
 
     rows = docs.select("id", "company_id", "appendix_name", F.col("start").cast("string"), "coverage_name", "coverage_type")
-    return _keyed(rows.mapInPandas(run, "rid string, " + FEATURES), F.lit(True))
+    return rows.mapInPandas(run, "rid string, " + FEATURES)
 
 
 #: Days by which two dates of one product may differ.

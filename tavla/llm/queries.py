@@ -10,7 +10,7 @@ from tavla.llm.canonical import UNMATCHED, map_to_canonical
 from tavla.llm.contamination import find_leaks
 from tavla.llm.grouping import connected_groups
 from tavla.llm.linkage import link_records
-from tavla.llm.listings import PASSES, common_words, document_features, listing_comparisons, listing_features
+from tavla.llm.listings import PASSES, common_words, document_features, document_keys, listing_comparisons, listing_features, listing_keys
 from tavla.llm.neighbours import most_similar
 from tavla.llm.setjoin import similar_links, similar_pairs
 from tavla.llm.splitting import split_oversized
@@ -134,7 +134,8 @@ def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     if companies.count() > 100_000:
         raise ValueError("the list of companies is too long to be broadcast")
     named = [(r["id"], r["display_name"]) for r in companies.collect()]
-    links = link_records(listing_features(table(spark, sf_dir, "market_listings"), named, common), document_features(docs, common), PASSES, listing_comparisons())
+    listings = listing_features(table(spark, sf_dir, "market_listings"), named, common)
+    links = link_records(listings, document_features(docs, common), PASSES, listing_comparisons(), keys=(listing_keys, document_keys))
     discard(docs)
     return links.select(F.col("lid").alias("listing_id"), F.col("rid").alias("document_id"), "confidence", "any_match")
 

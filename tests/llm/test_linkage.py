@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tavla.llm.linkage import Comparison, Model, candidate_pairs, link_records
-from tavla.llm.listings import PASSES, Reader, company_reader, document_features, listing_features, read_date, shortened, spelt
+from tavla.llm.listings import PASSES, Reader, company_reader, document_features, document_keys, listing_features, listing_keys, read_date, shortened, spelt
 
 
 def make(spark, rows, key):
@@ -100,7 +100,7 @@ def test_misspelt_listings_are_candidates(spark):
     ls = spark.createDataFrame([(i, c, t, None, None, None) for i, c, t in listings], "listing_id long, company_label string, listed_title string, cover_kind string, cover_title string, sold_from string")
     docs = [("a", "nirvad", "זואדפונים"), ("b", "nirvad", "קבתרונים")]
     ds = spark.createDataFrame([(i, c, t, None, None, None) for i, c, t in docs], "id string, company_id string, appendix_name string, start date, coverage_name string, coverage_type string")
-    left, right = listing_features(ls, [("nirvad", "נירווד"), ("keshtov", "קשתוב")], []), document_features(ds, [])
+    left, right = listing_keys(listing_features(ls, [("nirvad", "נירווד"), ("keshtov", "קשתוב")], [])), document_keys(document_features(ds, []))
     got = {(r["lid"], r["rid"]) for r in candidate_pairs(left, right, PASSES).collect()}
     assert got == {(1, "a"), (2, "b"), (3, "a")}
 
@@ -109,3 +109,46 @@ def test_keys_meet_at_any_place_of_their_pass_only(spark):
     left = make(spark, [("l", "n", 1, "k", ["a", "b"], ["c"])], "lid")
     right = make(spark, [("r", "n", 1, "k", ["x", "y", "a"], []), ("s", "n", 1, "k", ["c"], [])], "rid")
     assert [(r["lid"], r["rid"]) for r in candidate_pairs(left, right, ["by_name", "by_year"]).collect()] == [("l", "r")]
+
+
+def test_busy_keys_are_dealt_on_both_sides(spark):
+    """Few rows against many: the many are dealt to parts as well."""
+    left = make(spark, [(f"l{i}", "n", 1, "k", ["hot"], []) for i in range(3)], "lid")
+    right = make(spark, [(f"r{i:03}", "n", 1, "k", ["hot"], []) for i in range(400)], "rid")
+    got = candidate_pairs(left, right, ["by_name"], pairs_per_part=60)
+    assert got.count() == got.distinct().count() == 1200
+    plan = got._jdf.queryExecution().toString()
+    assert "down" in plan and "across" in plan
+
+
+def test_listings_made_from_documents_are_found(spark):
+    """Labelled by construction: names misspelt, words dropped, companies and dates written otherwise; half of the products are absent."""
+    rng = random.Random(11)
+    syllables = ["קא", "צו", "רי", "מא", "טו", "לון", "שי", "בר", "נט", "פו"]
+    name = lambda: "".join(rng.choice(syllables) for _ in range(4))
+    products, tiers = ["ניתוחים בארץ", "תרופות", "ריסק", "סיעוד ממושך"], ["זהב", "כסף", "בסיס", "מורחב"]
+    companies = [("nirvad", "נירווד"), ("keshtov", "קשתוב"), ("malgaz", "מלגז")]
+    docs, listings, truth = [], [], {}
+    for i in range(400):
+        c, n, p, t = rng.choice(companies), name(), rng.choice(products), rng.choice(tiers)
+        there = rng.random() < 0.6
+        if there:
+            docs.append((f"d{i}", c[0], f"נספח {n} {p} {t}", f"20{rng.randrange(10, 20)}-0{rng.randrange(1, 9)}-11"))
+        if rng.random() < 0.7:
+            k = rng.randrange(1, len(n) - 1)
+            wrong = rng.choice([n, n[:k] + n[k + 1 :], n[:k] + "ד" + n[k + 1 :]])
+            words = [wrong, *p.split(), t]
+            rng.shuffle(words)
+            listings.append((i, rng.choice([c[1] + " ביטוח", c[0].upper(), None]), " ".join(words), None, None, docs[-1][3] if there and rng.random() < 0.5 else None))
+            if there:
+                truth[i] = f"d{i}"
+    ls = spark.createDataFrame(listings, "listing_id long, company_label string, listed_title string, cover_kind string, cover_title string, sold_from string")
+    ds = spark.createDataFrame([(*d[:3], d[3], None, None) for d in docs], "id string, company_id string, appendix_name string, start string, coverage_name string, coverage_type string")
+    common = sorted({w for p in [*products, *tiers, "נספח"] for w in spelt(p)})
+    from tavla.llm.listings import listing_comparisons
+
+    links = link_records(listing_features(ls, companies, common), document_features(ds, common), PASSES, listing_comparisons(), keys=(listing_keys, document_keys))
+    got = {r["lid"]: r["rid"] for r in links.collect()}
+    hits = sum(truth.get(k) == v for k, v in got.items())
+    assert hits / len(truth) >= 0.9
+    assert hits / len(got) >= 0.9
