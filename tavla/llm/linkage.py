@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tavla.session import cut, discard
+from tavla.session import cut, discard, seen
 
 #: Patterns that the levels of all comparisons may make; they are collected and broadcast.
 MOST_PATTERNS = 200_000
 #: Pairs that one key of a pass may make in one task; larger blocks are joined in parts.
 PAIRS_PER_PART = 2_000_000
+#: Keys of the left side (8 bytes each) that may be broadcast to leave out the right side's others; more are joined by shuffle.
+BROADCAST_KEYS = 500_000
 
 
 @dataclass(frozen=True)
@@ -54,8 +56,9 @@ def candidate_pairs(left: DataFrame, right: DataFrame, passes: Sequence[str], *,
         each = [F.coalesce(hashed(n, p), F.array().cast("array<bigint>")) for n, p in enumerate(passes)]
         return df.select(key, F.explode(F.array_distinct(F.concat(*each))).alias("k"))
 
-    lk = cut(keys(left, "lid"))
-    rk = cut(keys(right, "rid").join(lk.select("k").distinct(), "k", "left_semi"))
+    lk = cut(keys(left, "lid"), n=F.count(F.lit(1)))
+    known = lk.select("k").distinct()
+    rk = cut(keys(right, "rid").join(F.broadcast(known) if seen(lk, "n") <= BROADCAST_KEYS else known, "k", "left_semi"))
     busy = lk.groupBy("k").agg(F.count(F.lit(1)).alias("nl")).join(rk.groupBy("k").agg(F.count(F.lit(1)).alias("nr")), "k")
     # As near to a square as the sides allow.
     side = F.least(F.col("nr"), F.greatest(F.lit(1.0), F.sqrt(F.lit(float(pairs_per_part))), pairs_per_part / F.col("nl")))

@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tavla.llm import linkage
 from tavla.llm.linkage import Comparison, Model, candidate_pairs, link_records
 from tavla.llm.listings import PASSES, Reader, company_reader, document_features, document_keys, listing_features, listing_keys, read_date, shortened, spelt
 
@@ -58,7 +60,9 @@ def test_edges(spark):
     assert link_records(make(spark, left, "lid"), make(spark, [], "rid"), ["by_name"], comparisons()).count() == 0
 
 
-def test_busy_blocks_lose_no_pair(spark):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_busy_blocks_lose_no_pair(spark, monkeypatch, few):
+    monkeypatch.setattr(linkage, "BROADCAST_KEYS", few)
     left = [(f"l{i:02}", "n", 1, "k", ["hot", f"k{i}"], []) for i in range(30)]
     right = [(f"r{i:02}", "n", 1, "k", ["hot", f"k{i}"], []) for i in range(40)]
     got = candidate_pairs(make(spark, left, "lid"), make(spark, right, "rid"), ["by_name"], pairs_per_part=50)
