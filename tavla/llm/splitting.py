@@ -59,30 +59,75 @@ def boundary_strength(before: str, after: str) -> int:
     return CLAUSE if CLAUSE_END.search(before) else BLANK
 
 
-def text_units(encoder: Encoder, text: str, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(char ends, token counts, strengths after) of the units of a text: its pre-tokens, where one that is larger
+#: Words whose marks a worker remembers before it starts afresh.
+REMEMBERED = 300_000
+
+
+class Boundaries:
+    """The strengths of all boundaries of a text at once, from marks that each pre-token keeps. As :func:`boundary_strength` gives them."""
+
+    def __init__(self):
+        self.marks: dict[str, int] = {}
+
+    @staticmethod
+    def _mark(word: str) -> int:
+        blank = word.isspace()
+        breaks = min(2, word.count("\n") + word.count("\u2029")) if blank else 0
+        end = 0 if blank else 2 if SENTENCE_END.search(word) else 1 if CLAUSE_END.search(word) else 0
+        return blank | breaks << 1 | end << 3 | word[:1].isspace() << 5 | ("\n" in word) << 6
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The strength after every word; that after the last is a paragraph's."""
+        if len(self.marks) > REMEMBERED:
+            self.marks.clear()
+        marks = self.marks
+        for w in set(words):
+            if w not in marks:
+                marks[w] = self._mark(w)
+        m = np.fromiter((marks[w] for w in words), np.int64, len(words))
+        before, after = m[:-1], m[1:]
+        of_break, of_end = np.array([BLANK, LINE, PARAGRAPH, PARAGRAPH]), np.array([BLANK, CLAUSE, SENTENCE, SENTENCE])
+        blank = np.where(after & 1, NONE, of_break[before >> 1 & 3])
+        word = np.where(((after >> 5 & 1) == 0) | ((after >> 6 & 1) == 1), NONE, of_end[before >> 3 & 3])
+        return np.append(np.where(before & 1, blank, word), PARAGRAPH)[: len(words)]
+
+
+def text_units(encoder: Encoder, boundaries: Boundaries, words: list[str], sizes: np.ndarray, limit: int) -> tuple[list[str], np.ndarray, np.ndarray, bool]:
+    """(units, token counts, strengths after, whether they are the pre-tokens) of a text: its pre-tokens, where one that is larger
     than an eighth of the limit is taken character by character, so that a text without blanks can be cut as well."""
+    strengths = boundaries.of(words)
+    most = max(1, limit // 8)
+    if sizes.max(initial=0) <= most:
+        return words, sizes, strengths, True
+    units: list[str] = []
+    strong: list[int] = []
+    for w, n, s in zip(words, sizes.tolist(), strengths.tolist(), strict=True):
+        parts = list(w) if n > most else [w]
+        units += parts
+        strong += [NONE] * (len(parts) - 1) + [s]
+    return units, encoder.token_counts(units), np.array(strong), False
+
+
+def split_text(encoder: Encoder, text: str, limit: int, overlap: int, boundaries: Boundaries | None = None) -> list[tuple[int, int, int]]:
+    """(start, end, tokens) of the pieces of a text, in characters. A text within the limit is one piece."""
     words = encoder.pattern.findall(text)
     sizes = encoder.token_counts(words)
-    strengths = [boundary_strength(a, b) for a, b in zip(words, words[1:], strict=False)] + [PARAGRAPH]
-    if sizes.max(initial=0) > max(1, limit // 8):
-        units, strong = [], []
-        for w, n, s in zip(words, sizes, strengths, strict=True):
-            parts = list(w) if n > max(1, limit // 8) else [w]
-            units += parts
-            strong += [NONE] * (len(parts) - 1) + [s]
-        sizes, words, strengths = encoder.token_counts(units), units, strong
-    return np.cumsum([len(w) for w in words]), sizes, np.array(strengths)
-
-
-def split_text(encoder: Encoder, text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(start, end, tokens) of the pieces of a text, in characters. A text within the limit is one piece."""
-    whole = encoder.count(text)
+    whole = int(sizes.sum())
     if whole <= limit:
         return [(0, len(text), whole)]
-    ends, sizes, strengths = text_units(encoder, text, limit)
+    units, sizes, strengths, plain = text_units(encoder, boundaries or Boundaries(), words, sizes, limit)
     cum = np.concatenate([[0], np.cumsum(sizes)])  # tokens before unit i
-    char = np.concatenate([[0], ends])
+    char = np.concatenate([[0], np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))])
+
+    def count(s: int, e: int) -> int:
+        """Tokens of the units s to e as a text of their own. Pre-tokens are the same there, but for blanks at the end, which no word follows."""
+        if not plain:
+            return encoder.count(text[char[s] : char[e]])
+        b = e
+        while b > s and units[b - 1].isspace():
+            b -= 1
+        return int(cum[b] - cum[s]) + (encoder.count(text[char[b] : char[e]]) if b < e else 0)
+
     table = StrongestBoundary(strengths)  # strengths[i] is that of the boundary after unit i
     n, s, out = len(sizes), 0, []
     while True:
@@ -94,7 +139,7 @@ def split_text(encoder: Encoder, text: str, limit: int, overlap: int) -> list[tu
             else:
                 low = max(s + 1, int(np.searchsorted(cum, cum[s] + room // 2, "left")))
                 e = table.query(min(low, top) - 1, top - 1) + 1
-            tokens = encoder.count(text[char[s] : char[e]])
+            tokens = count(s, e)
             if tokens <= limit or e == s + 1:
                 break
             room = min(room, int(cum[e] - cum[s])) - max(1, tokens - limit)  # a cut can change how its blanks are encoded
@@ -134,14 +179,14 @@ def split_oversized(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        encoder, boundaries = Encoder(sent.value), Boundaries()
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in slices(list(map(len, texts)), CHARS_AT_ONCE):
                 rows = [
                     (k, no, start, end, tokens, t[start:end])
                     for k, t in zip(keys[part], texts[part], strict=True)
-                    for pieces in (split_text(encoder, t, limit, overlap),)
+                    for pieces in (split_text(encoder, t, limit, overlap, boundaries),)
                     if len(pieces) > 1 or not only_oversized
                     for no, (start, end, tokens) in enumerate(pieces)
                 ]

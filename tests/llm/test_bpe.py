@@ -1,9 +1,10 @@
+import random
 import os
 
 import pytest
 
 from tavla.llm import bpe
-from tavla.llm.splitting import StrongestBoundary, boundary_strength, split_oversized, split_text
+from tavla.llm.splitting import Boundaries, StrongestBoundary, boundary_strength, split_oversized, split_text
 
 pytestmark = pytest.mark.skipif(not os.path.exists(os.path.join(bpe.TOKENIZERS, "byte_bpe_50k.tiktoken")), reason="no vocabulary")
 
@@ -104,3 +105,23 @@ def test_split_column(spark):
     assert split_oversized(df.limit(0), "id", "t").count() == 0
     with pytest.raises(ValueError, match="limit"):
         split_oversized(df, "id", "t", limit=100, overlap=50)
+
+
+def test_strengths_of_a_whole_text(encoder):
+    rng = random.Random(12)
+    parts = ["a", "a.", " b", " b,", "\n", "\n\n", " ", "   ", "\u2029", " x!", "5", "\t\n ", "’”", "?)", "\u00a0"]
+    boundaries = Boundaries()
+    for _ in range(60):
+        words = encoder.pattern.findall("".join(rng.choice(parts) for _ in range(40)))
+        want = [boundary_strength(a, b) for a, b in zip(words, words[1:], strict=False)] + [5]
+        assert boundaries.of(words).tolist() == want
+    assert boundaries.of([]).tolist() == []
+
+
+def test_pieces_with_blanks_everywhere(encoder, reference):
+    rng = random.Random(13)
+    for _ in range(40):
+        text = "".join(rng.choice(["word", " ", "  ", "\n", " \n\n", ".", "\t", "x" * 40, "שלום"]) for _ in range(300))
+        pieces = split_text(encoder, text, 40, 4)
+        assert all(n == len(reference.encode_ordinary(text[a:b])) and (n <= 40 or b == a + 1) for a, b, n in pieces)
+        assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and all(q[0] <= p[1] for p, q in zip(pieces, pieces[1:], strict=False))
