@@ -132,8 +132,19 @@ def longest_passage(tiles: list[tuple[int, int, int]], item: np.ndarray, doc: np
     return best
 
 
+def _alike(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words a and b begin with in common."""
+    n = min(len(a), len(b))
+    same = a[:n] == b[:n]
+    return n if same.all() else int(np.argmin(same))
+
+
 def longest_chain(seeds: list[tuple[int, int]], item: np.ndarray, doc: np.ndarray, min_match: int) -> int:
-    """As ``longest_passage``, over all maximal matches: a tile elsewhere takes no words from a passage."""
+    """As ``longest_passage``, over all maximal matches: a tile elsewhere takes no words from a passage.
+
+    Where a word is repeated, the last word of a match may stand for its repetition, the first having been left out; then the
+    match must be long enough without it. The same holds for the first word of a passage.
+    """
     runs: dict[int, list[tuple[int, int]]] = defaultdict(list)  # of each diagonal, by their beginnings
     for i, d in sorted(seeds):
         found = runs[d - i]
@@ -143,19 +154,34 @@ def longest_chain(seeds: list[tuple[int, int]], item: np.ndarray, doc: np.ndarra
             found.append((i, i + min_match))
     starts = {diagonal: [b for b, _ in found] for diagonal, found in runs.items()}
     best = 0
-    seen: set[tuple[int, int, int]] = set()
     for diagonal, found in runs.items():
         for begin, end in found:
-            before = _edge(item[:begin][::-1], doc[max(0, begin + diagonal - len(item)) : begin + diagonal][::-1])
-            todo = [(diagonal, begin, end)]
-            seen.clear()
+            head = item[:begin][::-1]
+            d = begin + diagonal
+            before = _edge(head, doc[max(0, d - len(item)) : d][::-1])
+            before_spare = _alike(head, doc[max(0, d + 1 - len(item)) : d + 1][::-1])
+            todo = [(diagonal, begin, end, 0)]
+            seen: set[tuple[int, int, int, int]] = set()
             while todo:
                 state = todo.pop()
                 if state in seen:
                     continue
                 seen.add(state)
-                at, since, ei = state
-                best = max(best, ei - begin + before + _edge(item[ei:], doc[ei + at : ei + at + len(item)]))
+                at, since, ei, first = state  # first: the words before the first change, none as long as there is none
+                rest = item[ei:]
+                after = _edge(rest, doc[ei + at : ei + at + len(item)])
+                after_spare = _alike(rest, doc[ei + at - 1 : ei + at - 1 + len(item)])
+                length = ei - since
+                if first:
+                    gain = max(before, before_spare if first > min_match else 0) + max(after, after_spare if length > min_match else 0)
+                else:
+                    both = [before + after, before_spare, after_spare]
+                    if length > min_match:
+                        both += [before_spare + after, before + after_spare]
+                    if length > min_match + 1:
+                        both.append(before_spare + after_spare)
+                    gain = max(both)
+                best = max(best, ei - begin + gain)
                 for to in (at, at - 1):  # changed, left out
                     k = bisect.bisect_right(starts.get(to, ()), ei + 1) - 1
                     if k < 0:
@@ -163,8 +189,8 @@ def longest_chain(seeds: list[tuple[int, int]], item: np.ndarray, doc: np.ndarra
                     b, e = runs[to][k]
                     # Words that both runs have may stand on either side of the left-out one.
                     shift = max(0, min_match - (e - ei - 1))
-                    if e > ei + 1 and b <= ei + 1 - shift and ei - since - shift >= min_match:
-                        todo.append((to, ei + 1 - shift, e))
+                    if e > ei + 1 and b <= ei + 1 - shift and length - shift >= min_match:
+                        todo.append((to, ei + 1 - shift, e, first or length - shift))
     return best
 
 

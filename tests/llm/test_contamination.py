@@ -98,3 +98,56 @@ def test_words():
 def test_a_longer_copy_elsewhere_takes_no_words_from_a_passage(spark):
     docs = [(1, text([*ITEM[:12], "אחר", "שונה", *changed(ITEM[:20], {10})])), (2, text([*ITEM[:12], "אחר", *changed(ITEM[:17], {10})])), (3, text([*ITEM[:12], "אחר", "שונה", *left_out(ITEM[:20], {10})]))]
     assert run(spark, docs, [(100, " ".join(ITEM))]) == [(1, 100), (3, 100)]
+
+
+def longest_by_definition(item, doc, between=6):
+    """Words of the item in the longest passage, by trying every beginning and every way on: a changed or left-out word may come
+    where it is the first or ``between`` unchanged words lie behind the one before."""
+    best = 0
+    for i0 in range(len(item)):
+        for d0 in range(len(doc)):
+            if item[i0] != doc[d0]:
+                continue
+            todo, seen = [(i0, d0, between)], set()
+            while todo:
+                i, d, run = state = todo.pop()  # item[i] and doc[d] agree; run: unchanged words since the last change, before this one
+                if state in seen:
+                    continue
+                seen.add(state)
+                best = max(best, i + 1 - i0)
+                run = min(between, run + 1)
+                for di, dd, changes in ((1, 1, False), (2, 2, True), (2, 1, True)):
+                    if changes and run < between:
+                        continue
+                    if i + di < len(item) and d + dd < len(doc) and item[i + di] == doc[d + dd]:
+                        todo.append((i + di, d + dd, 0 if changes else run))
+    return best
+
+
+def test_probe_of_a_stray_tile(spark):
+    item = [f"x{i}" for i in range(40)]
+    doc = [*item[:11], *[f"y{i}" for i in range(30)], *changed(item[:19], {9})]
+    assert longest_by_definition(item, doc) == 19
+    assert run(spark, [(1, " ".join(doc)), (2, " ".join(doc[41:])), (3, " ".join(doc[:41]))], [(7, " ".join(item))]) == [(1, 7), (2, 7)]
+
+
+def test_passages_match_the_definition():
+    from tavla.llm.contamination import longest_chain, longest_passage
+
+    rng = random.Random(21)
+    for trial in range(150):
+        words = 200 if trial % 3 else 6  # few words repeat within an item
+        item = [f"w{rng.randrange(words)}" for _ in range(rng.randrange(18, 45))]
+        doc = []
+        for _ in range(rng.randrange(1, 4)):
+            a = rng.randrange(len(item) - 10)
+            part = item[a : a + rng.randrange(8, 40)]
+            for _ in range(rng.randrange(4)):
+                k = rng.randrange(len(part))
+                part = [*part[:k], *rng.choice([[], ["other"]]), *part[k + 1 :]]
+            doc += [*part, *(["gap"] * rng.randrange(3))]
+        index = ItemIndex([(1, " ".join(item))], 6)
+        ids = index.document_ids(" ".join(doc))
+        got = max((max(longest_passage(tile(s, 6), index.words[n], ids), longest_chain(s, index.words[n], ids, 6)) for n, s in index.seeds(ids)), default=0)
+        want = longest_by_definition(item, doc)
+        assert (got >= 18) == (want >= 18), (item, doc, got, want)
