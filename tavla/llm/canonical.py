@@ -186,8 +186,9 @@ class BKTree:
         top = (m - 1).clip(0).astype(np.uint64)
         plus, minus = np.full(len(q), ~np.uint64(0)), np.zeros(len(q), np.uint64)
         score, n = m.copy(), lengths[q]
+        letters, masks, row = np.ascontiguousarray(codes.T), self.masks.ravel(), node * self.masks.shape[1]
         for j in range(int(n.max(initial=0))):
-            eq = self.masks[node, codes[q, j]]
+            eq = masks.take(row + letters[j].take(q))
             vertical = eq | minus
             horizontal = (((eq & plus) + plus) ^ plus) | eq
             up, down = minus | ~(horizontal | plus), plus & horizontal
@@ -413,7 +414,7 @@ class Matcher:
         readings = [self.variants(v) for v in values]
         best: list[tuple | None] = [None] * len(values)
         longest = int(self.tree.lengths.max(initial=0))
-        for radius in (1, 2, 4, 8):
+        for radius in (0, 1, 2, 4, 8):
             # Four transpositions are eight edits, and beyond four edits lie distances of three or more.
             asked: dict[str, list[int]] = defaultdict(list)
             for n, x in enumerate(readings):
@@ -425,7 +426,7 @@ class Matcher:
             if not asked:
                 break
             queries = list(asked)
-            limits = np.array([min(radius, 2 * ((len(r) + 4) // 6 + 1) if radius > 1 else 1) for r in queries], np.int64)
+            limits = np.array([min(radius, 2 * ((len(r) + 4) // 6 + 1)) if radius > 1 else radius for r in queries], np.int64)
             q, node, d = self.tree.within(queries, limits)
             order = np.argsort(d, kind="stable")
             near: dict[int, tuple] = {}  # the best score of every reading
