@@ -8,13 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no signal, prefix letters, scope markers, units and number patterns.
-STOP_WORDS = "של עם על אל מן כל לא או גם כי אם זה זו אלו עד בין אין יש את לפי כפי".split()
-GENERIC_TERMS = (
-    "ביטוח חיים בריאות פוליסה נספח גילוי נאות תנאים כלליים מקרה כיסוי כתב שירות תכנית תוכנית מוצר "
-    "מהדורה עדכון מעודכן נוסח פרטי כללי נוסף מחלות מוות מות"
-).split()
-PREFIX_LETTERS = "ו ב כ ל מ ש ה".split()
-SCOPE_WORDS = "בנק עיריית עירית עיריות עובדי לעובדי".split()
+STOP_WORDS = [
+    "של", "עם", "על", "אל", "מן", "כל", "לא", "או", "גם", "כי", "אם", "זה", "זו", "אלו", "עד", "בין", "אין", "יש", "את", "לפי", "כפי",
+]
+GENERIC_TERMS = [
+    "ביטוח", "חיים", "בריאות", "פוליסה", "נספח", "גילוי", "נאות", "תנאים", "כלליים", "מקרה", "כיסוי", "כתב", "שירות", "תכנית", "תוכנית", "מוצר",
+    "מהדורה", "עדכון", "מעודכן", "נוסח", "פרטי", "כללי", "נוסף", "מחלות", "מוות", "מות",
+]
+PREFIX_LETTERS = ["ו", "ב", "כ", "ל", "מ", "ש", "ה"]
+SCOPE_WORDS = ["בנק", "עיריית", "עירית", "עיריות", "עובדי", "לעובדי"]
 SCOPE_MENTION = r"(?:בנק|עיריית|עירית|עובדי|לעובדי)\s+([א-ת]+(?:\s+[א-ת]+)?)"
 HEBREW_WORD = r"([א-ת]+)"
 PERIOD_DAYS = {"שנתיים": 730, "שנים": 365, "שנה": 365, "שבועות": 7, "שבוע": 7, "חודשים": 30, "חודש": 30, "ימים": 1, "יום": 1}
@@ -30,7 +32,7 @@ VERSION_MARK = r"(?:(\d{1,2}[./]\d{4})\s*גרסה|גרסה\s*(\d{1,2}[./]\d{4}))
 TITLE_DATE = r"\d{1,2}\.\d{1,2}\.\d{2,4}|\d{1,2}\.\d{4}"
 TITLE_START = rf"(?:בתוקף\s+)?(?:החל\s+)?מ-?\s*({TITLE_DATE})"
 TITLE_END = rf"עד\s*ל?-?\s*({TITLE_DATE})"
-HINT_WORDS = "נספח מספר מס".split()
+HINT_WORDS = ["נספח", "מספר", "מס"]
 SHORT_DURATION = r"(\d+)\s*(יום|ימים|שבוע|שבועות|חודש|חודשים|שנה|שנים)"
 
 

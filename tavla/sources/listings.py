@@ -71,7 +71,7 @@ def forms_json(df: DataFrame, body: str, url_template: str) -> DataFrame:
 def items_json(df: DataFrame, body: str, domains: DataFrame, base_url: str) -> DataFrame:
     """Items by category and subject; ``domains`` has category, subject (null: any) and domain. Items without file or domain are dropped."""
     b = df.select(F.explode(F.from_json(body, ITEMS)["items"]).alias("p")).where("p.fileUrl <> ''")
-    known = F.broadcast(domains.select(F.col("category").alias("__c"), F.col("subject").alias("__s"), "domain"))
+    known = domains.select(F.col("category").alias("__c"), F.col("subject").alias("__s"), "domain")
     p = b.join(known, (F.col("p.categoryName") == F.col("__c")) & (F.col("__s").isNull() | (F.col("p.subjectName") == F.col("__s"))))
     title = X.strip(_some(F.col("p.policyName")))
     department = F.concat_ws(" / ", _some(F.col("p.categoryName")), _some(F.col("p.subjectName")))
