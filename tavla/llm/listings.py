@@ -19,9 +19,11 @@ from tavla.llm.linkage import Comparison
 from tavla.session import cut, discard
 
 # Latin letters by which Hebrew names are spelt, and words of one meaning, in those letters.
-LETTERS = dict(
-    zip("אבגדהוזחטיכלמנסעפצקרשתךםןףץ", "a b g d h o z ch t i k l m n s a p tz k r sh t k m n p tz".split(), strict=True)
-)
+LETTERS = {
+    "א": "a", "ב": "b", "ג": "g", "ד": "d", "ה": "h", "ו": "o", "ז": "z", "ח": "ch", "ט": "t", "י": "i", "כ": "k", "ל": "l", "מ": "m",
+    "נ": "n", "ס": "s", "ע": "a", "פ": "p", "צ": "tz", "ק": "k", "ר": "r", "ש": "sh", "ת": "t", "ך": "k", "ם": "m", "ן": "n", "ף": "p",
+    "ץ": "tz",
+}
 TIERS = {
     "zhb": ("gold",),
     "ksp": ("silver",),
@@ -47,8 +49,8 @@ AUDIENCES = {
     "argon": ("airgon",),
 }
 #: Words around a name that say nothing about the product.
-FILLERS = frozenset("adkon pdf chdshh hpolish tnai mla nosch naot giloi mhdorh kisoi lchbri chbri".split())
-COMPANY_FILLERS = frozenset("bitoch lbitoch chbrh bam isral kbotzt pnsih obitoch insurance ltd".split())
+FILLERS = frozenset(["adkon", "pdf", "chdshh", "hpolish", "tnai", "mla", "nosch", "naot", "giloi", "mhdorh", "kisoi", "lchbri", "chbri"])
+COMPANY_FILLERS = frozenset(["bitoch", "lbitoch", "chbrh", "bam", "isral", "kbotzt", "pnsih", "obitoch", "insurance", "ltd"])
 ALIASES = {w: k for group in (TIERS, AUDIENCES) for k, ws in group.items() for w in ws}
 
 _MARKS = regex.compile(r"[\p{Mn}\p{Cf}]+")
