@@ -1,14 +1,16 @@
 """Matching entities across companies by vector similarity, gated by lexical evidence.
 
 Exact search by matrix products: the vectors of a domain are cut in blocks, every unordered pair of blocks is one task, and a task
-serves both directions. A score of 0.75 lies too far out for the triangle inequality to leave blocks out (with 59,000 vectors of 64
+serves both directions. Products in single precision leave out what can't be among the best, within a bound of their rounding; the rest is scored
+in double precision. A score of 0.75 lies too far out for the triangle inequality to leave blocks out (with 59,000 vectors of 64
 dimensions in 64 or 256 clusters, the clusters' centres and radii excluded none or 1 % of them), so the products are quadratic in a domain; what is
 shuffled for them is a row per vector and block, and each task keeps only the best few per (source, other company).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tavla.functions.text import pair_key
+from tavla.session import cut
 
-#: Most and fewest vectors of one side of a task (at 64 dimensions two megabytes at most), and those of a strip that is multiplied at a time.
-BLOCK_ROWS, LEAST_ROWS, STRIP_ROWS = 4_096, 1_024, 1_024
+#: Most and fewest vectors of one side of a task (the most at up to 64 dimensions, where they take 16 megabytes), and those of a strip that is multiplied at a time.
+BLOCK_ROWS, LEAST_ROWS, STRIP_ROWS = 32_768, 1_024, 512
+
+#: Pairs that are scored at a time, and the share of pairs from which on a threshold doesn't leave out enough.
+SCORED, DENSE = 65_536, 1 / 16
 
 _PAIRS = T.StructType(
     [T.StructField("source", T.StringType()), T.StructField("company", T.StringType()), T.StructField("candidate", T.StringType()), T.StructField("score", T.DoubleType())]
@@ -33,7 +39,7 @@ class Bags:
     """Bags of words that are asked for overlaps, by the rule of functions.text.lexical_overlap.
 
     Each word of an asking bag stands for all words here that it is related to, which are found by its own beginnings
-    and ends and by those of the others; the rest is one product of incidence matrices.
+    and ends and by those of the others.
     """
 
     def __init__(self, bags: Sequence[Sequence[str] | None]):
@@ -44,9 +50,11 @@ class Bags:
             for part in self._ends(w):
                 self.parts.setdefault(part, set()).add(n)
         self.known: dict[str, list[int]] = {}
-        self.held = np.zeros((len(bags), len(self.number)), np.float32)
-        for i, bag in enumerate(bags):
-            self.held[i, [self.number[w] for w in bag or ()]] = 1
+        at, words = _places(bags, lambda w: (self.number[w],))
+        order = np.argsort(words, kind="stable")
+        self.holders = at[order]  # of all words, one word after the other
+        self.counts = np.bincount(words, minlength=len(self.number))
+        self.starts = np.cumsum(self.counts) - self.counts
 
     @staticmethod
     def _ends(w: str) -> set[str]:
@@ -58,20 +66,71 @@ class Bags:
             self.known[w] = list(found | {self.number[p] for p in {w} | self._ends(w) if p in self.number})
         return self.known[w]
 
+    def asked(self, bags: Sequence[Sequence[str] | None]) -> Asked:
+        return Asked(self, bags)
+
     def overlaps(self, bags: Sequence[Sequence[str] | None]) -> np.ndarray:
-        asked = np.zeros((len(bags), len(self.number)), np.float32)
-        for i, bag in enumerate(bags):
-            for w in bag or ():
-                asked[i, self.related(w)] = 1
-        return asked @ self.held.T > 0
+        return self.asked(bags).rows(slice(0, len(bags)))
+
+
+class Asked:
+    """What some bags ask of others. The words that join most pairs have a bit each, the pairs of the others are written one by one."""
+
+    def __init__(self, there: Bags, bags: Sequence[Sequence[str] | None]):
+        self.there, self.width = there, len(there.none)
+        at, words = _places(bags, there.related)
+        pairs = np.bincount(words, minlength=len(there.counts)) * there.counts
+        busy = np.argsort(-pairs, kind="stable")
+        self.planes, rest = [], np.ones(len(pairs), bool)
+        for lo in range(0, len(busy), 64):
+            some = busy[lo : lo + 64]
+            if pairs[some].sum() * 4 <= len(bags) * self.width:
+                break
+            bit = np.zeros(len(pairs), np.uint64)
+            bit[some] = np.uint64(1) << np.arange(len(some), dtype=np.uint64)
+            asking, held = np.zeros(len(bags), np.uint64), np.zeros(self.width, np.uint64)
+            np.bitwise_or.at(asking, at, bit[words])
+            np.bitwise_or.at(held, there.holders, np.repeat(bit, there.counts))
+            self.planes.append((asking, held))
+            rest[some] = False
+        self.at, self.words = at[rest[words]], words[rest[words]]
+
+    def rows(self, part: slice) -> np.ndarray:
+        """The overlaps of the bags of a slice with all bags there."""
+        out = np.zeros((part.stop - part.start, self.width), bool)
+        lo, hi = np.searchsorted(self.at, (part.start, part.stop))
+        counts = self.there.counts[self.words[lo:hi]]
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        holders = self.there.holders[np.repeat(self.there.starts[self.words[lo:hi]], counts) + within]
+        out[np.repeat(self.at[lo:hi] - part.start, counts), holders] = True
+        for asking, held in self.planes:
+            for n in range(0, self.width, 1_024):
+                out[:, n : n + 1_024] |= (asking[part][:, None] & held[None, n : n + 1_024]) != 0
+        return out
+
+
+def _places(bags: Sequence[Sequence[str] | None], numbers: Callable[[str], Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the bag, number of the word) of all words of all bags, bag by bag."""
+    each = [[n for w in bag or () for n in numbers(w)] for bag in bags]
+    sizes = np.fromiter(map(len, each), np.int64, len(each))
+    return np.repeat(np.arange(len(each)), sizes), np.fromiter(chain.from_iterable(each), np.int64, int(sizes.sum()))
+
+
+class Gate:
+    """Which pairs does lexical evidence allow? Words are None for an entity without any name; a scope is None for a general product."""
 
+    def __init__(self, words: Sequence, scopes: Sequence, there_words: Sequence, there_scopes: Sequence):
+        self.words, self.scopes = Bags(there_words).asked(words), Bags(there_scopes).asked(scopes)
+        self.nameless, self.general = (np.array([x is None for x in bags], bool) for bags in (words, scopes))
 
-def gate(words: Sequence, scopes: Sequence, there_words: Bags, there_scopes: Bags) -> np.ndarray:
-    """Which pairs does lexical evidence allow? Words are None for an entity without any name; a scope is None for a general product."""
-    none = lambda bags: np.array([x is None for x in bags], bool)[:, None]
-    general, general_there = none(scopes), there_scopes.none[None, :]
-    scoped = (general == general_there) & (general | there_scopes.overlaps(scopes))
-    return scoped & (none(words) | there_words.none[None, :] | there_words.overlaps(words))
+    def rows(self, part: slice) -> np.ndarray:
+        out = self.words.rows(part)
+        out[self.nameless[part]] = True
+        out[:, self.words.there.none] = True
+        general, general_there = self.general[part], self.scopes.there.none
+        if not (general.all() and general_there.all()):
+            out &= (general[:, None] & general_there[None, :]) | (~general[:, None] & ~general_there[None, :] & self.scopes.rows(part))
+        return out
 
 
 class Side:
@@ -79,76 +138,128 @@ class Side:
 
     def __init__(self, table: pa.Table, gated: bool):
         table = table.combine_chunks().sort_by("id")
-        self.ids = np.array(table["id"].to_pylist(), object)
-        self.company = np.array(table["company"].to_pylist(), object)
+        self.ids, self.company = table["id"].combine_chunks(), table["company"].combine_chunks()
         self.active = table["active"].to_numpy()
         vectors = table["vector"].combine_chunks()
         self.vectors = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1) if len(table) else np.empty((0, 0))
         self.words, self.scopes = (table["words"].to_pylist(), table["scope"].to_pylist()) if gated else (None, None)
 
 
-def best_of(a: Side, b: Side, k: int, least: float | None, gated: bool) -> list[tuple]:
-    """(source, company, candidate, score) columns: of each entity of a, the k best active candidates of every other company in b."""
-    out = []
+def _bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shorter vectors whose products are no less than those of a and b: half of the coordinates along their main axes, and the length of the rest."""
+    axes = np.linalg.eigh(a.T @ a + b.T @ b)[1][:, ::-1]
+    half = a.shape[1] // 2
+
+    def short(x: np.ndarray) -> np.ndarray:
+        turned = x @ axes
+        return np.concatenate([turned[:, :half], np.linalg.norm(turned[:, half:], axis=1, keepdims=True)], axis=1).astype(np.float32)
+
+    return short(a), short(b)
+
+
+def best_of(a: Side, b: Side, k: int, least: float | None, gated: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in a, place in b, score): of each entity of a, the k best active candidates of every other company in b."""
     there = np.flatnonzero(b.active)
-    companies, of_company = np.unique(b.company[there].astype(str), return_inverse=True)
-    evidence = (Bags([b.words[i] for i in there]), Bags([b.scopes[i] for i in there])) if gated else None
-    for lo in range(0, len(a.ids) if len(there) else 0, STRIP_ROWS):
-        part = slice(lo, lo + STRIP_ROWS)
-        score = a.vectors[part] @ b.vectors[there].T
-        allowed = a.company[part][:, None] != b.company[there][None, :]
-        if gated:
-            allowed &= gate(a.words[part], a.scopes[part], *evidence)
-        if least is not None:
-            allowed &= score >= least
-        score[~allowed] = -np.inf
-        for n, name in enumerate(companies):
-            at = np.flatnonzero(of_company == n)
-            own = score[:, at]
-            every = np.arange(len(own))
-            for _ in range(min(k, len(at))):  # the first of equal maxima is the smaller candidate
-                best = own.argmax(axis=1)
-                value = own[every, best]
-                rows = np.flatnonzero(value > -np.inf)
-                if not len(rows):
-                    break
-                out.append((a.ids[part][rows], np.full(len(rows), name, object), b.ids[there[at[best[rows]]]], value[rows]))
-                own[every, best] = -np.inf
-    return out
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    if not len(a.ids) or not len(there):
+        return found[0]
+    code = pa.chunked_array([a.company, b.company]).combine_chunks().dictionary_encode().indices.to_numpy()
+    company, of_company = code[: len(a.ids)], code[len(a.ids) :]
+    there = there[np.argsort(of_company[there], kind="stable")]
+    cuts = np.flatnonzero(np.diff(of_company[there], prepend=-1, append=-1))
+    candidates = b.vectors[there]
+    left, right = a.vectors.astype(np.float32), candidates.astype(np.float32)
+    longest = [float(np.sqrt(np.einsum("ij,ij->i", x, x).max())) for x in (a.vectors, candidates)]
+    near = 4 * (left.shape[1] + 8) * 2.0**-24 * longest[0] * longest[1]  # twice what single precision may err
+    bounds = _bounds(a.vectors, candidates) if least is not None and not gated and left.shape[1] >= 16 and np.isfinite(near) else None
+    gate = Gate(a.words, a.scopes, [b.words[i] for i in there], [b.scopes[i] for i in there]) if gated else None
+
+    for lo in range(0, len(a.ids), STRIP_ROWS):
+        part = slice(lo, min(lo + STRIP_ROWS, len(a.ids)))
+        denied = ~gate.rows(part) if gated else None
+        pairs = []
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            rows = np.flatnonzero(company[part] != of_company[there[first]])
+            if not len(rows):
+                continue
+            some = slice(None) if len(rows) == part.stop - lo else rows
+            hits = None
+            if bounds:
+                hits = bounds[0][part][some] @ bounds[1][first:last].T >= least - near
+                if np.count_nonzero(hits) > DENSE * hits.size:
+                    hits = None
+            if hits is None:
+                score = left[part][some] @ right[first:last].T
+                if gated:
+                    np.copyto(score, -np.inf, where=denied[some, first:last])
+                floor = np.full(len(rows), np.finfo(np.float32).min if least is None else least - near)
+                if last - first > k:
+                    kth = score.max(axis=1) if k == 1 else np.partition(score, -k, axis=1)[:, -k]
+                    floor = np.maximum(floor, kth - near)
+                hits = score >= floor.astype(np.float32)[:, None]
+            i, j = np.divmod(np.flatnonzero(hits), last - first)
+            pairs.append((lo + rows[i], first + j))
+        if pairs:
+            found.append(_best_pairs(a.vectors, candidates, *map(np.concatenate, zip(*pairs, strict=True)), of_company[there], k, least))
+    i, j, score = map(np.concatenate, zip(*found, strict=True))
+    return i, there[j], score
+
+
+def _best_pairs(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, company: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of the pairs of each (i, company of j), equal scores in the order of j. Each score is computed alike, so that equal vectors have equal ones."""
+    score = np.empty(len(i))
+    for lo in range(0, len(i), SCORED):
+        at = slice(lo, lo + SCORED)
+        score[at] = np.einsum("ij,ij->i", a[i[at]], b[j[at]])
+    if least is not None:
+        i, j, score = (x[score >= least] for x in (i, j, score))
+    order = np.lexsort((j, -score, company[j], i))
+    i, j, score = i[order], j[order], score[order]
+    new = np.flatnonzero((np.diff(i, prepend=-1) != 0) | (np.diff(company[j], prepend=-1) != 0))
+    best = np.arange(len(i)) - np.repeat(new, np.diff(new, append=len(i))) < k
+    return i[best], j[best], score[best]
 
 
 def _blocks(df: DataFrame, block_rows: int) -> DataFrame:
     """``df`` with its block within the domain and the number of blocks of the domain: enough to keep all cores busy, of ``block_rows`` at most."""
     busy = 2 * df.sparkSession.sparkContext.defaultParallelism ** 0.5  # blocks whose pairs are about two tasks a core
     n = F.count(F.lit(1))
-    rows = F.least(F.lit(block_rows), F.greatest(F.lit(min(block_rows, LEAST_ROWS)), F.ceil(n / busy)))
+    most = F.greatest(F.lit(1), F.least(F.lit(block_rows), F.floor(F.lit(64 * block_rows) / F.col("dim"))))
+    rows = F.least(most, F.greatest(F.lit(min(block_rows, LEAST_ROWS)), F.ceil(n / busy)))
     sizes = df.groupBy("domain", "dim").agg(F.ceil(n / rows).cast("int").alias("blocks"))
-    return df.join(sizes, ["domain", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return df.join(F.broadcast(sizes), ["domain", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def _dealt(rows: DataFrame, block_rows: int) -> DataFrame:
+    """``rows`` once for each task (domain, dim, i, j) that their block takes part in.
+
+    They are dealt by all four and to a fixed number of partitions: the rows of a domain would else stay in one task, or be coalesced into few by their bytes.
+    """
+    tasks = _blocks(rows, block_rows).select(*rows.columns, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tasks = tasks.select(*rows.columns, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return tasks.repartition(max(64, 8 * rows.sparkSession.sparkContext.defaultParallelism), "domain", "dim", "i", "j")
 
 
 def _search(df: DataFrame, k: int, least: float | None, gated: bool, block_rows: int) -> DataFrame:
     """``source, company, candidate, score``: the k best (gated: the best corroborated) active candidates of each other company.
 
-    Entities without company, domain or vector take no part; vectors are compared with those of their own length. Equal scores go to the smaller candidate.
+    Entities without company, domain or vector take no part, nor do those with a null, NaN or infinite coordinate; vectors are compared with those of their own length. Equal scores go to the smaller candidate.
     """
     columns = ["id", "company", "domain", "dim", "vector", "active", *(["words", "scope"] if gated else [])]
-    usable = df.where("id is not null and company is not null and domain is not null and size(vector) > 0 and forall(vector, x -> x is not null)")
-    rows = _blocks(usable.withColumn("dim", F.size("vector")).withColumn("active", F.coalesce("active", F.lit(False))).select(columns), block_rows)
-    tasks = rows.select(*columns, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.select(*columns, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    usable = df.where("id is not null and company is not null and domain is not null and size(vector) > 0 and forall(vector, x -> x is not null and abs(x) < double('Infinity'))")
+    rows = cut(usable.withColumn("dim", F.size("vector")).withColumn("active", F.coalesce("active", F.lit(False))).select(columns))
 
     def best(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[-2].as_py(), key[-1].as_py()
         first = Side(table.filter(pc.equal(table["block"], i)), gated)
         second = first if i == j else Side(table.filter(pc.equal(table["block"], j)), gated)
-        found = best_of(first, second, k, least, gated)
-        if i != j:
-            found += best_of(second, first, k, least, gated)
-        if not found:
-            return _PAIRS_ARROW.empty_table()
-        return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found, strict=True), _PAIRS_ARROW, strict=True)], schema=_PAIRS_ARROW)
-
-    found = tasks.groupBy("domain", "dim", "i", "j").applyInArrow(best, _PAIRS)
+        out = []
+        for a, b in ((first, second), (second, first))[: 1 if i == j else 2]:
+            source, candidate, score = best_of(a, b, k, least, gated)
+            out.append(pa.table([a.ids.take(pa.array(source)), b.company.take(pa.array(candidate)), b.ids.take(pa.array(candidate)), pa.array(score)], schema=_PAIRS_ARROW))
+        return pa.concat_tables(out)
+
+    found = _dealt(rows, block_rows).groupBy("domain", "dim", "i", "j").applyInArrow(best, _PAIRS)
     w = Window.partitionBy("source", "company").orderBy(F.desc("score"), "candidate")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -32,17 +32,21 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("code <> ''")
 
 
-def entities(spark: SparkSession, sf_dir: str, asof: str = "2015-01-01") -> DataFrame:
-    """id, company, domain, vector, active, words, scope of every document with a current unit vector."""
+def entities(spark: SparkSession, sf_dir: str, asof: str = "2015-01-01", *, lexical: bool = True) -> DataFrame:
+    """id, company, domain, vector, active and, if ``lexical``, words, scope of every document with a current unit vector."""
     vectors = table(spark, sf_dir, "document_embeddings").where(F.col("model_name") == MODEL)
     current = vectors.groupBy("document_id").agg(F.max(F.struct("created_date", "embedding")).alias("r")).select("document_id", M.unit(F.col("r.embedding")).alias("vector"))
-    d, e = docs(spark, sf_dir), extractions(spark, sf_dir).select("document_id", "coverage_type", "coverage_name")
-    joined = current.where("vector is not null").join(d, current["document_id"] == d["id"]).drop("document_id").join(e.withColumnRenamed("document_id", "id"), "id", "left")
+    d = docs(spark, sf_dir)
+    joined = current.where("vector is not null").join(d, current["document_id"] == d["id"]).drop("document_id")
+    active = F.col("marketing_end_date").isNull() | (F.col("marketing_end_date") >= F.lit(asof).cast("date"))
+    columns = ["id", F.col("company_id").alias("company"), "domain", "vector", active.alias("active")]
+    if not lexical:
+        return joined.select(*columns)
+    e = extractions(spark, sf_dir).select(F.col("document_id").alias("id"), "coverage_type", "coverage_name")
     names = [F.col("appendix_name"), F.col("coverage_type"), F.col("coverage_name")]
     named = F.coalesce(*[X.filled(c) for c in names])
-    active = F.col("marketing_end_date").isNull() | (F.col("marketing_end_date") >= F.lit(asof).cast("date"))
-    return joined.select(
-        "id", F.col("company_id").alias("company"), "domain", "vector", active.alias("active"),
+    return joined.join(e, "id", "left").select(
+        *columns,
         F.when(named.isNotNull(), X.combined_tokens(*names)).alias("words"), X.scope_signature(names[0], names[2]).alias("scope"),
     )
 

@@ -73,6 +73,57 @@ def test_overlaps_of_bags_follow_the_rule():
     assert O.Bags(b).overlaps(a).tolist() == [[rule(x, y) for y in b] for x in a]
 
 
+def test_blocks_of_one_domain_are_dealt_to_many_tasks(spark):
+    rows = spark.range(600).selectExpr("cast(id as string) as id", "'life' as domain", "4 as dim")
+    dealt = O._dealt(rows, 100).select("id", "i", "j", F.spark_partition_id().alias("p"))
+    assert dealt.select("i", "j").distinct().count() == 21
+    assert dealt.groupBy("i", "j").agg(F.countDistinct("p").alias("n")).where("n > 1").count() == 0
+    assert dealt.select("p").distinct().count() > 8
+    assert {r["count"] for r in dealt.groupBy("id").count().collect()} == {6}
+
+
+def test_overlaps_of_many_words_stay_small():
+    import tracemalloc
+
+    bags = [[f"{i:06}{c}" for c in "abcde"] + ["many"] * (i % 2) for i in range(3_000)]
+    asked = O.Bags(bags)
+    tracemalloc.start()
+    got = asked.overlaps(bags[:512])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    odd = np.arange(3_000) % 2 == 1
+    assert (got == (np.eye(512, 3_000, dtype=bool) | (odd[:512, None] & odd[None, :]))).all()
+    assert peak < 20_000_000
+
+
+def test_long_vectors_with_ties_match_brute_force(spark, rows):
+    rng = np.random.default_rng(5)
+    kinds = rng.normal(size=(150, 64))
+    near = kinds[rng.integers(0, 150, 500)] + rng.normal(size=(500, 64)) * 0.3
+    vectors = np.concatenate([near, near[:250]])  # each of the latter ties with one of the former
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    words = [None if i % 50 == 0 else [f"w{x}" for x in rng.integers(0, 12, 3)] for i in range(750)]
+    es = [entity(f"{i:03}", str(rng.choice(["A", "B", "C"])), v, active=bool(rng.random() < 0.8), words=words[i]) for i, v in enumerate(vectors)]
+    es.append(entity("nan", "A", [float("nan")] * 64))
+    df = spark.createDataFrame(es, SCHEMA)
+    score = {(i, j): round(float(x), 9) for i, row in enumerate(vectors @ vectors.T) for j, x in enumerate(row)}
+
+    def want(k, least, gated):
+        out = []
+        for i, a in enumerate(es[:750]):
+            per = {}
+            for j, b in enumerate(es[:750]):
+                if a[1] != b[1] and b[4] and score[i, j] >= least and (not gated or words[i] is None or words[j] is None or set(words[i]) & set(words[j])):
+                    per.setdefault(b[1], []).append((-score[i, j], b[0]))
+            out += [(a[0], c, j, n) for c, x in per.items() for n, (_, j) in enumerate(sorted(x)[:k], 1)]
+        return sorted(out, key=repr)
+
+    for least in (0.75, -0.2):
+        assert rows(O.rank_candidates(df, k=3, min_score=least, block_rows=400), "source", "company", "candidate", "rank") == want(3, least, False)
+    got = O.best_corroborated(df, block_rows=400).withColumn("rank", F.lit(1))
+    assert rows(got, "source", "company", "candidate", "rank") == want(1, -2, True)
+
+
 def test_empty_matching(spark):
     assert O.rank_candidates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert O.best_corroborated(spark.createDataFrame([], SCHEMA)).count() == 0
