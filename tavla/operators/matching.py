@@ -237,7 +237,7 @@ def _dealt(rows: DataFrame, block_rows: int) -> DataFrame:
     """
     tasks = _blocks(rows, block_rows).select(*rows.columns, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = tasks.select(*rows.columns, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return tasks.repartition(max(64, 8 * rows.sparkSession.sparkContext.defaultParallelism), "domain", "dim", "i", "j")
+    return tasks.repartition(max(256, 32 * rows.sparkSession.sparkContext.defaultParallelism), "domain", "dim", "i", "j")
 
 
 def _search(df: DataFrame, k: int, least: float | None, gated: bool, block_rows: int) -> DataFrame:
