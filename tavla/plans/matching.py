@@ -62,7 +62,7 @@ def best_match(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{BASE} SELECT least(source, candidate) || '|||' || greatest(source, candidate) AS key, least(source, candidate) AS a, greatest(source, candidate) AS b, round(max(score), 6) AS score FROM top3 GROUP BY ALL")
 def unordered_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every candidate pair once, whichever side found it."""
-    pairs = O.rank_candidates(entities(spark, d)).withColumn("score", F.round("score", 6))
+    pairs = O.rank_candidates(entities(spark, d, lexical=False)).withColumn("score", F.round("score", 6))
     return O.unordered(pairs, "source", "candidate")
 
 
