@@ -8,7 +8,7 @@ from tavla.plans import matching as P
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["topk_candidates", "unordered_pairs"])
+@pytest.mark.parametrize("name", ["topk_candidates", "unordered_pairs", "rebuild_protected"])
 def test_ranking_reads_no_names(spark, monkeypatch, name):
     read, table = [], common.table
     monkeypatch.setattr(common, "table", lambda s, d, t: read.append(t) or table(s, d, t))
