@@ -14,3 +14,8 @@ def test_ranking_reads_no_names(spark, monkeypatch, name):
     monkeypatch.setattr(common, "table", lambda s, d, t: read.append(t) or table(s, d, t))
     P.QUERIES[name](spark, SMALL)
     assert "document_embeddings" in read and "document_extractions" not in read
+
+
+def test_judged_pairs_are_searched_once(spark):
+    pairs, verdicts = P._judged(spark, SMALL)
+    assert "FlatMapGroupsInArrow" not in pairs.join(verdicts, "key")._jdf.queryExecution().toString()
